@@ -1,10 +1,15 @@
 """Problem 4: consensus of several annotators by confidence-aware truth discovery.
 
-Each annotator's weight is the upper chi-squared bound on the precision of their
-votes: ``chi2(alpha / 2, n) / sum of squared label distances`` to the consensus, so
-someone with few votes gets little weight even if these agree by luck. Labels and
-weights are found in turn: each item takes the label with the least weighted distance
-to its votes, then weights are estimated anew.
+Labels and annotator weights are found in turn: each item takes the label with the
+least weighted distance to its votes, then every annotator's error is estimated from
+the distances between their votes and the consensus. Of that error the chi-squared
+upper confidence bound counts (``sum of distances / chi2(alpha / 2, n)``), so someone
+with few votes gets little weight even if these agree by luck.
+
+Two points differ from plain inverse-error weights, under which one annotator soon
+dictates every consensus and thereby confirms themselves: the weight is the log-odds
+of the bounded error, and distances are taken to the consensus as a distribution over
+labels (softmax of the weighted votes) while rounds last.
 
 Items with the same set of votes have the same consensus, so votes are first grouped
 to signatures with their number of items; the iteration runs over these.
@@ -22,16 +27,17 @@ from ..session import cut_lineage
 
 ALPHA = 0.05
 ROUNDS = 30
+TOLERANCE = 1e-4
 #: Signature votes that the driver may iterate over; beyond it the rounds are Spark jobs.
 DRIVER_VOTES = 200_000
 
 
-def chi2_upper(n: float, alpha: float = ALPHA) -> float:
-    """Quantile 1 - alpha/2 of the chi-squared distribution (Wilson-Hilferty)."""
+def chi2_lower(n: float, alpha: float = ALPHA) -> float:
+    """Quantile alpha/2 of the chi-squared distribution (Wilson-Hilferty)."""
     if n <= 0:
         return 0.0
-    z = _normal_quantile(1 - alpha / 2)
-    return n * (1 - 2 / (9 * n) + z * math.sqrt(2 / (9 * n))) ** 3
+    z = _normal_quantile(alpha / 2)
+    return max(0.0, n * (1 - 2 / (9 * n) + z * math.sqrt(2 / (9 * n))) ** 3)
 
 
 def _normal_quantile(p: float) -> float:
@@ -45,8 +51,12 @@ def _normal_quantile(p: float) -> float:
     return (lo + hi) / 2
 
 
-def _weight(votes: float, distance: float, alpha: float) -> float:
-    return chi2_upper(votes, alpha) / (distance + 0.5)
+def annotator_weight(votes: float, distance: float, labels: int, alpha: float = ALPHA) -> float:
+    """Log-odds of an annotator being right, by the upper bound of their error."""
+    others = max(1, labels - 1)
+    chance = others / (others + 1)
+    error = min((distance + 0.5) / max(chi2_lower(votes, alpha), 1e-9), chance)
+    return max(math.log((1 - error) * others / error), 1e-6)
 
 
 def truth_discovery(
@@ -118,51 +128,61 @@ def _solve_in_driver(signatures: DataFrame, alpha: float, rounds: int) -> tuple[
     times = np.array([n for _, _, n in rows], dtype=float)
     weight = np.ones(len(people))
     cast = np.bincount(who, weights=times[row] if len(row) else None, minlength=len(people))
-    chosen = None
+    chosen = np.empty(0, dtype=np.int64)
     score = np.zeros((len(rows), max(1, len(labels))))
-    distance = np.zeros(len(people))
     for _ in range(rounds):
         score = np.zeros((len(rows), max(1, len(labels))))
         np.add.at(score, (row, what), weight[who])
-        best = (score > score.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1) if len(rows) else np.empty(0, np.int64)
-        if chosen is not None and (best == chosen).all():
+        if not len(rows):
+            break
+        chosen = (score > score.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)
+        likely = np.exp(score - score.max(axis=1, keepdims=True))
+        likely /= likely.sum(axis=1, keepdims=True)
+        distance = np.bincount(who, weights=times[row] * (1 - likely[row, what]), minlength=len(people))
+        before, weight = weight, np.array([annotator_weight(n, d, len(labels), alpha) for n, d in zip(cast, distance)])
+        if np.abs(weight - before).max() < TOLERANCE:
             break
-        chosen = best
-        distance = np.bincount(who, weights=times[row] * (what != chosen[row]), minlength=len(people))
-        weight = np.array([_weight(n, d, alpha) for n, d in zip(cast, distance)])
-        weight = weight / weight.max() if len(weight) else weight
+    right = np.bincount(who, weights=times[row] * (what == chosen[row]), minlength=len(people)) if len(row) else cast
     top = [float(score[k, chosen[k]] / score[k].sum()) for k in range(len(rows))] if len(rows) else []
     solved = spark.createDataFrame([(rows[k][0], labels[chosen[k]], top[k]) for k in range(len(rows))], "signature string, label string, confidence double")
     known = spark.createDataFrame(
-        [(a, int(cast[k]), float(1 - distance[k] / cast[k]), float(weight[k])) for a, k in at.items()],
+        [(a, int(cast[k]), float(right[k] / cast[k]), float(weight[k])) for a, k in at.items()],
         "annotator string, n_votes long, reliability double, weight double",
     )
     return solved, known
 
 
 def _solve_in_jobs(signatures: DataFrame, alpha: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The same rounds as Spark jobs; only one number a round reaches the driver."""
     long = cut_lineage(signatures.select("signature", "items", F.explode("votes").alias("v")).select("signature", "items", "v.annotator", "v.label"))
+    n_labels = long.select(F.count_distinct("label")).first()[0]
     weights = long.groupBy("annotator").agg(F.lit(1.0).alias("weight"))
-    bound = F.udf(lambda n: chi2_upper(float(n), alpha), "double")
-    chosen = people = None
+    weigh = F.udf(lambda n, d: annotator_weight(float(n), float(d), n_labels, alpha), "double")
+    scored = None
     for _ in range(rounds):
-        by_label = long.join(weights, "annotator").groupBy("signature", "label").agg(F.sum("weight").alias("w"))
-        best = F.max(F.struct(F.round("w", 9).alias("w"), F.transform(F.split("label", ""), lambda c: -F.ascii(c)).alias("k"), F.col("label").alias("label")))
-        now = cut_lineage(by_label.groupBy("signature").agg(best.alias("b"), F.sum("w").alias("all")).select("signature", F.col("b.label").alias("label"), (F.col("b.w") / F.col("all")).alias("confidence")))
-        changed = 1 if chosen is None else now.join(chosen.select("signature", F.col("label").alias("old")), "signature").where(F.col("label") != F.col("old")).limit(1).count()
-        if not changed:
-            chosen = now
+        scored = cut_lineage(long.join(weights, "annotator").groupBy("signature", "label").agg(F.sum("weight").alias("w")))
+        most = scored.groupBy("signature").agg(F.max("w").alias("top"))
+        likely = scored.join(most, "signature").withColumn("e", F.exp(F.col("w") - F.col("top")))
+        unvoted = (F.lit(n_labels) - F.count("*")) * F.exp(-F.first("top"))
+        whole = likely.groupBy("signature").agg((F.sum("e") + unvoted).alias("whole"))
+        likely = likely.join(whole, "signature").select("signature", "label", (F.col("e") / F.col("whole")).alias("p"))
+        people = long.join(likely, ["signature", "label"]).groupBy("annotator").agg(F.sum("items").alias("n"), F.sum(F.col("items") * (1 - F.col("p"))).alias("d"))
+        new = cut_lineage(people.select("annotator", weigh("n", "d").alias("weight")))
+        moved = new.join(weights.withColumnRenamed("weight", "old"), "annotator").agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+        weights = new
+        if moved is None or moved < TOLERANCE:
             break
-        chosen = now
-        scored = long.join(chosen.select("signature", F.col("label").alias("truth")), "signature")
-        people = scored.groupBy("annotator").agg(
-            F.sum("items").alias("n_votes"),
-            F.sum(F.when(F.col("label") != F.col("truth"), F.col("items")).otherwise(0)).alias("distance"),
-        )
-        people = people.withColumn("weight", bound("n_votes") / (F.col("distance") + 0.5))
-        people = cut_lineage(people)
-        most = people.agg(F.max("weight")).first()[0] or 1.0
-        people = people.withColumn("weight", F.col("weight") / F.lit(most))
-        weights = people.select("annotator", "weight")
-    known = people.select("annotator", "n_votes", (1 - F.col("distance") / F.col("n_votes")).alias("reliability"), "weight")
-    return chosen, known
+    heaviest = F.max(F.round("w", 9)).alias("top")
+    tops = scored.groupBy("signature").agg(heaviest, F.sum("w").alias("whole"))
+    chosen = (
+        scored.join(tops, "signature")
+        .where(F.round("w", 9) == F.col("top"))
+        .groupBy("signature")
+        .agg(F.min("label").alias("label"), (F.first("top") / F.first("whole")).alias("confidence"))
+    )
+    judged = long.join(chosen.select("signature", F.col("label").alias("truth")), "signature")
+    people = judged.groupBy("annotator").agg(
+        F.sum("items").alias("n_votes"),
+        (F.sum(F.when(F.col("label") == F.col("truth"), F.col("items")).otherwise(0)) / F.sum("items")).alias("reliability"),
+    )
+    return chosen, people.join(weights, "annotator")
