@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import latest_rows, table
-from . import consensus, cooccurrence, frequency
+from ..session import cut_lineage, latest_rows, table
+from . import consensus, cooccurrence, frequency, mixing, packing, repeated_lines
+from .languages import label_language
+from .sql import ORACLE
+from .tokens import PATTERN, n_tokens
 
 VOTERS = ["expert_annotator_1", "expert_annotator_2", "student_annotator_1", "student_annotator_2"]
 
@@ -35,7 +38,7 @@ def p7_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def normal_label(column: str):
     """One of the three labels that a raw vote stands for, else null."""
-    trimmed = F.lower(F.trim(F.regexp_replace(column, "(?U)^\\s+|\\s+$", "")))
+    trimmed = F.lower(F.trim(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")))
     return (
         F.when(trimmed.startswith("1_"), F.lit("1_hauptthema"))
         .when(trimmed.startswith("2_"), F.lit("2_nebenthema"))
@@ -65,7 +68,76 @@ def p4_annotators(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.truth_discovery(_votes(spark, folder)[1])[1]
 
 
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(_sized(spark, folder), "doc_id", "n_tokens")
+    return packed.where(F.col("n_parts") > 1).select(F.col("item").alias("doc_id")).distinct()
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.container_contents(packing.pack(_sized(spark, folder), "doc_id", "n_tokens"))
+
+
+def core_pattern(spark: SparkSession, folder: str) -> str:
+    """Pattern that finds a term of the wordlist in a lower-cased text."""
+    terms = [r.term for r in table(spark, folder, "wordlist").orderBy("ord").select("term").collect()]
+    return "|".join(r"\p{L}*\s+".join(rf"\Q{w.lower()}\E" for w in term) for term in terms)
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select(
+        "doc_id",
+        "source",
+        n_tokens(F.col("text")).alias("n_tokens"),
+        label_language(F.col("lang")).alias("language"),
+        F.when(F.lower("text").rlike(core_pattern(spark, folder)), F.lit("core")).otherwise(F.lit("other")).alias("topic"),
+    )
+    return mixing.mix(cut_lineage(documents), table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens", "language", "topic")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1].where("short").select("source")
+
+
+def p9_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
+def _site_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = latest_rows(table(spark, folder, "articles").select("id", "ingested_at", "url", "text_deduped"), "id", "ingested_at")
+    return rows.select("id", repeated_lines.site_of(F.col("url")).alias("site"), "text_deduped")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_lines.frequent_sequences(_site_texts(spark, folder), "id", "site", "text_deduped", unique=True)
+    return found.where(F.col("n_lines") == 1).select("site", F.col("lines")[0].alias("line_key"))
+
+
+def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.frequent_sequences(cut_lineage(_site_texts(spark, folder)), "id", "site", "text_deduped", unique=True)
+
+
+def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = repeated_lines.without_repeated(cut_lineage(_site_texts(spark, folder)), "id", "site", "text_deduped")
+    return cleaned.select("id", "text_clean", "n_removed")
+
+
 QUERIES = {
+    "p6_found": p6_found,
+    "p6_sequences": p6_sequences,
+    "p6_cleaned": p6_cleaned,
+    "p8_found": p8_found,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_sample": p9_sample,
+    "p9_report": p9_report,
     "p1_found": p1_found,
     "p1_term_counts": p1_term_counts,
     "p4_found": p4_found,
@@ -74,38 +146,3 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
 }
-
-_TERMS = """
-latest as (
-  select id, lemmas from articles where id is not null
-  qualify row_number() over (partition by id order by ingested_at desc nulls last) = 1
-), elements as (
-  select id, lower(trim(nfc_normalize(x), ' ' || chr(160) || chr(9) || chr(10) || chr(13))) as term
-  from latest, unnest(lemmas) as u(x)
-), terms as (
-  select id, term from elements where regexp_matches(term, '\\p{L}')
-), counted as (
-  select term, count(*) as occurrences, count(distinct id) as records from terms group by term
-), whole as (select count(distinct id) as n from terms)
-"""
-
-ORACLE = {
-    "p1_found": f"""with {_TERMS} select term, case when records <= 2 then 'rare' else 'common' end as mark
-        from counted, whole where records <= 2 or records > 0.4 * n""",
-    "p1_term_counts": f"""with {_TERMS} select term, occurrences, records,
-        case when records <= 2 then 'rare' when records > 0.4 * n then 'common' end as mark from counted, whole""",
-    "p7_found": f"""with {_TERMS}, kept as (
-          select distinct t.id, t.term, c.records from terms t join counted c using (term), whole where c.records >= 5 and c.records * 1000 >= n
-        ), pairs as (
-          select a.term as term_a, b.term as term_b, a.records as n_a, b.records as n_b, count(*) as n_ab
-          from kept a join kept b on a.id = b.id and a.term < b.term group by all
-        ) select term_a, term_b from pairs, whole
-        where n_ab >= 5 and 1000 * n_ab >= n and n_ab * n >= 12 * n_a * n_b""",
-    "p7_pairs": f"""with {_TERMS}, kept as (
-          select distinct t.id, t.term, c.records from terms t join counted c using (term), whole where c.records >= 5 and c.records * 1000 >= n
-        ), pairs as (
-          select a.term as term_a, b.term as term_b, a.records as n_a, b.records as n_b, count(*) as n_ab
-          from kept a join kept b on a.id = b.id and a.term < b.term group by all
-        ) select term_a, term_b, n_a, n_b, n_ab, round(n_ab / (n_a::double * n_b / n), 6) as lift from pairs, whole
-        where n_ab >= 5 and 1000 * n_ab >= n and n_ab * n >= 12 * n_a * n_b""",
-}
