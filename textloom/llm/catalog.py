@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, latest_rows, table
-from . import consensus, cooccurrence, frequency, mixing, packing, repeated_lines
+from . import consensus, cooccurrence, frequency, language_id, mixing, packing, repeated_lines
 from .languages import label_language
 from .sql import ORACLE
 from .tokens import PATTERN, n_tokens
@@ -129,7 +129,21 @@ def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("id", "text_clean", "n_removed")
 
 
+def _dictionaries(spark: SparkSession, folder: str) -> dict[str, bytes]:
+    return language_id.fit_dictionaries(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_words"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.wrong_labels(table(spark, folder, "documents"), "doc_id", "text", "lang", _dictionaries(spark, folder))
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, folder, "documents"), "doc_id", "text", _dictionaries(spark, folder))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
     "p6_found": p6_found,
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
