@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, latest_rows, table
-from . import consensus, cooccurrence, frequency, language_id, mixing, packing, repeated_lines
+from . import consensus, cooccurrence, frequency, language_id, mixing, packing, repeated_lines, structure
 from .languages import label_language
 from .sql import ORACLE
 from .tokens import PATTERN, n_tokens
@@ -141,7 +141,18 @@ def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify_languages(table(spark, folder, "documents"), "doc_id", "text", _dictionaries(spark, folder))
 
 
+def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.text_structure(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = p5_statistics(spark, folder)
+    return kinds.where((F.col("kind") != "prose") & (F.col("n_chars") >= structure.CASE_CHARS)).select("doc_id", "kind")
+
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_statistics": p5_statistics,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p6_found": p6_found,
