@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, latest_rows, table
-from . import consensus, cooccurrence, frequency, language_id, mixing, packing, repeated_lines, structure
+from . import consensus, cooccurrence, frequency, language_id, main_content, mixing, packing, repeated_lines, structure
 from .languages import label_language
 from .sql import ORACLE
 from .tokens import PATTERN, n_tokens
@@ -150,7 +150,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.where((F.col("kind") != "prose") & (F.col("n_chars") >= structure.CASE_CHARS)).select("doc_id", "kind")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "raw_pages").select("page_id", "url", "source", "html_content")
+    texts = latest_rows(table(spark, folder, "articles").select("id", "page_id", "ingested_at", "text"), "id", "ingested_at")
+    site = F.coalesce(repeated_lines.site_of(F.col("url")), F.col("source"))
+    address = F.coalesce(F.regexp_extract("url", r"^[^:/?#]+://[^/?#]+([^?#]*)", 1), F.col("page_id").cast("string"))
+    return main_content.article_content(pages, texts, "page_id", site, address, "html_content", "text")
+
+
 QUERIES = {
+    "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
     "p2_found": p2_found,
