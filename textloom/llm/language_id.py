@@ -78,22 +78,15 @@ def fit_dictionaries(
     return {code: b" ".join([*parts[code], " ".join(sorted(words[code])).encode()])[-dictionary_bytes:] for code in LANGUAGES}
 
 
-_compressors: dict[int, list[tuple[str, zstandard.ZstdCompressor]]] = {}
-
-
 def _classifiers(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    at = hash(tuple(sorted(dictionaries.items())))
-    if at not in _compressors:
-        made = []
-        for code, content in sorted(dictionaries.items()):
-            if len(content) < 8:
-                continue
-            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            known.precompute_compress(level=LEVEL)
-            made.append((code, zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        _compressors.clear()
-        _compressors[at] = made
-    return _compressors[at]
+    made = []
+    for code, content in sorted(dictionaries.items()):
+        if len(content) < 8:
+            continue
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=LEVEL)
+        made.append((code, zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    return made
 
 
 def classify(content: bytes, classifiers: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
