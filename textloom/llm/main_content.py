@@ -77,7 +77,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(places) < 200_000:
                         places[block.path] = place
                 same = len(key) >= 12 and (title == key if len(key) == 48 else title.startswith(key))
-                digest = xxhash.xxh3_64_intdigest(_DIGITS.sub("0", key) if len(key) < 48 else block.text.encode("utf-8", "surrogatepass"))
+                digest = xxhash.xxh3_64_intdigest(_DIGITS.sub("0", block.text).encode("utf-8", "surrogatepass"))
                 at.append(k)
                 rows.append((site, address, *place, key, _signed(digest), len(block.text), sentence_ends(block.text), min(block.link_chars, len(block.text)), same))
         columns = list(zip(*rows)) or [[]] * len(names)
