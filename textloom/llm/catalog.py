@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, latest_rows, table
-from . import consensus, cooccurrence, frequency, language_id, main_content, mixing, packing, repeated_lines, structure
+from . import consensus, cooccurrence, frequency, language_id, main_content, mixing, packing, repeated_lines, shared_spans, structure
 from .languages import label_language
 from .sql import ORACLE
 from .tokens import PATTERN, n_tokens
@@ -158,7 +158,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_content.article_content(pages, texts, "page_id", site, address, "html_content", "text")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = shared_spans.sharing_pairs(*shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text"))
+    return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p10_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")[0]
+
+
+def p10_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_parts(table(spark, folder, "documents"), "doc_id", "text")
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_spans": p10_spans,
+    "p10_shared_parts": p10_shared_parts,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
