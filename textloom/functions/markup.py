@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _META = r"(?is)<meta\b[^>]*>"
 
@@ -176,7 +177,7 @@ def main_elements(page: str | None, heading: bool = True) -> list[tuple[str, str
     return chosen
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def main_html(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Main content as simple markup, null where there is none."""
     for batch in pages:
@@ -187,7 +188,7 @@ def main_html(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(made, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def main_markdown(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Main content as simple markdown, null where there is none."""
     for batch in pages:

@@ -21,7 +21,23 @@ def url_endings(df: DataFrame, url: str) -> DataFrame:
     return df.where(F.col(url).isNotNull()).select(end.alias("ending")).distinct()
 
 
-def byte_pairs(words: DataFrame, column: str, iterations: int, checkpoint_every: int = 10) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+def _merged(symbols: Column, a: str, b: str) -> Column:
+    """Symbols with each ``a`` before a ``b`` joined, from left to right."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
+
+    def step(acc: Column, s: Column) -> Column:
+        # 'open': the last symbol is an a that may still join a b
+        joins = acc["open"] & (s == b)
+        rest = F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1)
+        return F.struct(
+            F.when(joins, F.concat(rest, F.array(F.lit(a + b)))).otherwise(F.concat(acc["out"], F.array(s))).alias("out"),
+            (~joins & (s == a)).alias("open"),
+        )
+
+    return F.aggregate(symbols, start, step)["out"]
+
+
+def byte_pairs(words: DataFrame, column: str, iterations: int) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """Byte-pair merges of the strings of a column: ``(symbols, n)`` and the merges in order.
 
     Equal strings are merged once with their number. Each round counts adjacent pairs, takes
@@ -39,20 +55,9 @@ def byte_pairs(words: DataFrame, column: str, iterations: int, checkpoint_every:
             break
         a, b, k = best[0]
         merges.append((a, b, k))
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("open"))
-
-        def step(acc: Column, s: Column, a: str = a, b: str = b) -> Column:
-            # 'open': the last symbol is an a that may still join a b
-            joins = acc["open"] & (s == b)
-            return F.struct(
-                F.when(joins, F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc["out"], F.array(s))).alias("out"),
-                (~joins & (s == a)).alias("open"),
-            )
-
         touched = F.array_contains("symbols", a) & F.array_contains("symbols", b)
-        state = state.withColumn("symbols", F.when(touched, F.aggregate("symbols", start, step)["out"]).otherwise(F.col("symbols")))
-        if (number + 1) % checkpoint_every == 0 or number + 1 == iterations:
-            state = cut_lineage(state)
+        # cut every round: stacked rounds would copy the rewriting expression into each other
+        state = cut_lineage(state.withColumn("symbols", F.when(touched, _merged(F.col("symbols"), a, b)).otherwise(F.col("symbols"))))
     return state, merges
 
 

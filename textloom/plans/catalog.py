@@ -1,10 +1,5 @@
 """Registered queries over the test tables and their SQL."""
 
-from __future__ import annotations
+from .queries import ORACLE, QUERIES, flagship
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def flagship(spark, folder):
-    raise NotImplementedError
+__all__ = ["ORACLE", "QUERIES", "flagship"]

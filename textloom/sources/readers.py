@@ -62,8 +62,8 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
         return [line]
 
     # a wordlist is a query: some dozens of lines
-    lines = [r.value for r in spark.read.text(path, wholetext=True).collect() for r in [r]]
-    terms = [parse(x) for content in lines for x in content.splitlines() if x.strip()]
+    contents = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    terms = [parse(x) for content in contents for x in content.splitlines() if x.strip()]
     return spark.createDataFrame(list(enumerate(terms)), T.StructType().add("ord", "int").add("term", "array<string>"))
 
 
