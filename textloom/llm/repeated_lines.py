@@ -92,25 +92,20 @@ def frequent_sequences(
     return out
 
 
-def without_repeated(documents: DataFrame, key: str, site: str, text: str, support: int = SUPPORT, max_lines: int = 1) -> DataFrame:
-    """``documents`` with ``text_clean``, the text without the lines of frequent sequences, and ``n_removed``.
+def without_repeated(documents: DataFrame, key: str, site: str, text: str, support: int = SUPPORT) -> DataFrame:
+    """``(key, text_clean, n_removed)``: each text without the lines of frequent sequences.
 
     Every line of a frequent sequence is a frequent line itself, so the lines of level 1
-    are all that is deleted. Texts without site or key stay as they are; null texts stay null.
-    ``key`` must be unique.
+    are all that is deleted. Texts without site stay as they are, null texts stay null; rows
+    with a null key are left out. ``key`` must be unique.
     """
-    frequent = frequent_sequences(documents, key, site, text, support, max_lines, unique=True).where(F.col("n_lines") == 1)
-    frequent = frequent.select(F.col("site").alias("_site"), F.col("lines")[0].alias("_line"))
-    pieces = documents.where(F.col(key).isNotNull() & F.col(site).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(site).alias("_site"), F.posexplode(F.arrays_zip(F.split(text, "\n").alias("raw"), line_keys(F.col(text)).alias("line"))).alias("_pos", "_z")
-    )
-    pieces = pieces.select("_key", "_site", "_pos", F.col("_z.raw").alias("_raw"), F.col("_z.line").alias("_line"))
-    marked = pieces.join(frequent.withColumn("_gone", F.lit(True)), ["_site", "_line"], "left")
-    kept = F.array_sort(F.collect_list(F.when(F.col("_gone").isNull(), F.struct("_pos", "_raw"))))
-    rebuilt = marked.groupBy("_key").agg(F.array_join(F.transform(kept, lambda x: x["_raw"]), "\n").alias("_text"), F.count("_gone").alias("_n"))
-    joined = documents.join(rebuilt, F.col(key) == F.col("_key"), "left")
-    return joined.select(
-        *[documents[c] for c in documents.columns],
-        F.when(F.col("_key").isNull(), F.col(text)).otherwise(F.col("_text")).alias("text_clean"),
-        F.coalesce("_n", F.lit(0)).alias("n_removed"),
-    )
+    rows = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(site).alias("site"), F.col(text).alias("text"))
+    frequent = frequent_sequences(rows, "doc", "site", "text", support, 1, unique=True).select("site", F.col("lines")[0].alias("line"))
+    both = F.arrays_zip(F.split("text", "\n").alias("raw"), line_keys(F.col("text")).alias("line"))
+    pieces = rows.where(F.col("site").isNotNull() & F.col("text").isNotNull()).select("doc", "site", F.posexplode(both).alias("pos", "z"))
+    pieces = pieces.select("doc", "site", "pos", F.col("z.raw").alias("raw"), F.col("z.line").alias("line"))
+    marked = pieces.join(frequent.withColumn("gone", F.lit(True)), ["site", "line"], "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "raw"))))
+    rebuilt = marked.groupBy("doc").agg(F.array_join(F.transform(kept, lambda x: x["raw"]), "\n").alias("clean"), F.count("gone").alias("n_removed"))
+    joined = rows.select("doc", "text").join(rebuilt, "doc", "left")
+    return joined.select(F.col("doc").alias(key), F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.col("clean")).alias("text_clean"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))

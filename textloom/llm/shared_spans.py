@@ -99,7 +99,8 @@ def recompress(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, round
             starts, sizes = starts[at], whole
             open_ = (sizes < SYMBOL_CHARS) & (symbols != 0)
         # pairs: a left symbol and the right one behind it
-        side = (_mix(symbols + np.uint64(number * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(bool)
+        turn = np.uint64((number * 2 + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        side = (_mix(symbols + turn) >> np.uint64(63)).astype(bool)
         joins = np.zeros(len(symbols), dtype=bool)
         joins[:-1] = open_[:-1] & open_[1:] & ~side[:-1] & side[1:]
         at = np.flatnonzero(joins)
