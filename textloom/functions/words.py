@@ -78,7 +78,7 @@ def markdown_to_text(text: Column) -> Column:
 
 def keyword_items(content: Column) -> Column:
     """Items of a keyword attribute: split at commas and semicolons, trimmed, no empty ones."""
-    return F.filter(F.transform(F.split(content, "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(content, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def formatted_size(size: Column) -> Column:

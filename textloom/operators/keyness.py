@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.association import keyness_metric
 from ..functions.words import edge_stopword
-from .corpus import corpus_size, ngram_counts
+from .corpus import ngram_counts
 
 
 def contingency(study: DataFrame, reference: DataFrame, n: int = 1, smoothing: float = 1e-5, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(term, freq, doc_freq, o11, o12, o21, o22)`` of each n-gram of the study corpus.
 
-    The smoothing is added to both frequencies and, for each distinct n-gram, to the sizes.
+    A corpus' size is the number of its n-grams that pass ``keep``. The smoothing is added to both
+    frequencies and, for each distinct n-gram, to the sizes.
     """
     a, b = ngram_counts(study, n, keep), ngram_counts(reference, n, keep)
 
-    def whole(docs: DataFrame, counts: DataFrame, side: str) -> DataFrame:
-        return corpus_size(docs).select(F.col("size").alias(f"size_{side}")).crossJoin(F.broadcast(counts.agg(F.count("*").alias(f"unique_{side}"))))
+    def whole(counts: DataFrame, side: str) -> DataFrame:
+        return counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias(f"size_{side}"), F.count("*").alias(f"unique_{side}"))
 
-    one = whole(study, a, "s").crossJoin(F.broadcast(whole(reference, b, "r")))
+    one = whole(a, "s").crossJoin(F.broadcast(whole(b, "r")))  # one row
     s = F.lit(smoothing)
     joined = a.join(b.select("term", F.col("freq").alias("freq_r")), "term", "left").crossJoin(F.broadcast(one))  # one row of totals
     o11 = F.col("freq") + s

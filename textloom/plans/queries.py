@@ -212,7 +212,7 @@ def url_endings(spark, folder):
 @query()
 def url_byte_pairs(spark, folder):
     ends = urls.url_endings(table(spark, folder, "raw_pages"), "url")
-    return urls.common_byte_pairs(ends.select(F.regexp_replace("ending", "[0-9?].*$", "").alias("ending")), "ending", 25, 3)
+    return urls.common_byte_pairs(ends.select(F.regexp_replace("ending", "[0-9?].*$", "").alias("ending")), "ending", 25, 2)
 
 
 @query("select page_id, url from raw_pages where regexp_matches(url, '/thema/|[?]ref=')")
@@ -528,7 +528,7 @@ def _study(spark, folder):
 def _table_sql(n: int, name: str, s: str = "1e-4") -> str:
     return f"""s{name} as (select term, count(*) as freq, count(distinct doc_id) as doc_freq from {_grams('study', n)} group by term),
       r{name} as (select term, count(*) as freq from {_grams('reference', n)} group by term),
-      t{name} as (select (select sum(greatest(len(tokens), 0)) from study) as zs, (select sum(len(tokens)) from reference) as zr, (select count(*) from s{name}) as us, (select count(*) from r{name}) as ur),
+      t{name} as (select (select sum(freq) from s{name}) as zs, (select sum(freq) from r{name}) as zr, (select count(*) from s{name}) as us, (select count(*) from r{name}) as ur),
       k{name} as (select s.term, s.freq, s.doc_freq, s.freq + {s} as o11, coalesce(r.freq, 0) + {s} as o12, zs - (s.freq + {s}) + {s} * us as o21, zr - (coalesce(r.freq, 0) + {s}) + {s} * ur as o22
         from s{name} s left join r{name} r using (term), t{name})"""
 

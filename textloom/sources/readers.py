@@ -6,7 +6,6 @@ import ast
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.words import chained_source
 
@@ -64,7 +63,7 @@ def read_wordlist(spark: SparkSession, path: str) -> DataFrame:
     # a wordlist is a query: some dozens of lines
     contents = [r.value for r in spark.read.text(path, wholetext=True).collect()]
     terms = [parse(x) for content in contents for x in content.splitlines() if x.strip()]
-    return spark.createDataFrame(list(enumerate(terms)), T.StructType().add("ord", "int").add("term", "array<string>"))
+    return spark.createDataFrame(list(enumerate(terms)), "ord int, term array<string>")
 
 
 def read_patterns(spark: SparkSession, path: str) -> str:
