@@ -349,3 +349,14 @@ def test_annotation(spark):
     assert sorted(r.label for r in annotation.written_back(base, "id", labels, "label", overwrite=False).collect()) == ["keep", "new", "old"]
     record = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
     assert value(spark, annotation.kept_keys(record, ["a"])) == {"a": 1} and value(spark, annotation.removed_keys(record, ["a"])) == {"b": 2}
+
+
+def test_neighbours_across_partitions(spark):
+    rows = [(k, f"t{k}" if k % 7 else None, "ab"[k % 3 == 0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, g string").repartition(5)
+    for group in ("g", None):
+        got = {r.id: (r.previous_text, r.next_text) for r in annotation.with_neighbours(df, "id", "id", "text", group).collect()}
+        for k, _, g in rows:
+            mine = [r for r in rows if group is None or r[2] == g]
+            at = [r[0] for r in mine].index(k)
+            assert got[k] == (mine[at - 1][1] if at else None, mine[at + 1][1] if at + 1 < len(mine) else None)

@@ -10,9 +10,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 FAILED = "FAIL"
 _JSON_TYPES = {str: "string", int: "integer", float: "number", bool: "boolean"}
 
@@ -41,11 +43,25 @@ class Prompt:
 
 
 def with_neighbours(df: DataFrame, key: str, order: str, text: str, group: str | None = None) -> DataFrame:
-    """``df`` with ``previous_text`` and ``next_text`` in an order, within a group."""
-    from pyspark.sql import Window
+    """``df`` with ``previous_text`` and ``next_text`` in an order (ties by key), within a group.
 
-    window = Window.partitionBy(*([group] if group else [F.lit(1)])).orderBy(order, key)
-    return df.withColumns({"previous_text": F.lag(text).over(window), "next_text": F.lead(text).over(window)})
+    Rows are range-partitioned, so a large group spans many tasks; what lies beyond a partition's
+    ends comes from a table of the ends of all partitions (one row a partition and group).
+    """
+    by = [*([group] if group else []), order, key]
+    parts = df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id())
+    parts = cut_lineage(parts.withColumn("__group", F.col(group) if group else F.lit(0)))
+    within = Window.partitionBy("__part", "__group").orderBy(order, key)
+    rank = F.struct(F.col(order), F.col(key))
+    ends = parts.groupBy("__part", "__group").agg(F.min_by(F.struct(F.col(text).alias("t")), rank).alias("first"), F.max_by(F.struct(F.col(text).alias("t")), rank).alias("last"))
+    along = Window.partitionBy("__group").orderBy("__part")
+    ends = ends.select("__part", F.col("__group").alias("__of"), F.lag("last").over(along).alias("__before"), F.lead("first").over(along).alias("__after"))
+    placed = parts.withColumns({"__n": F.row_number().over(within), "previous_text": F.lag(text).over(within), "next_text": F.lead(text).over(within), "__left": F.count("*").over(Window.partitionBy("__part", "__group"))})
+    joined = placed.join(ends.withColumnRenamed("__part", "__p"), (F.col("__part") == F.col("__p")) & F.col("__group").eqNullSafe(F.col("__of")))
+    return joined.withColumns({
+        "previous_text": F.when(F.col("__n") == 1, F.col("__before.t")).otherwise(F.col("previous_text")),
+        "next_text": F.when(F.col("__n") == F.col("__left"), F.col("__after.t")).otherwise(F.col("next_text")),
+    }).select(*df.columns, "previous_text", "next_text")
 
 
 def json_schema(fields: dict[str, object]) -> dict:

@@ -52,28 +52,44 @@ def words_as_one(docs: DataFrame, words: Sequence[str], name: str | None = None)
     return docs.withColumn("tokens", F.transform("tokens", lambda w: F.when(w.isin(list(words)), F.lit(joined)).otherwise(w)))
 
 
-def ngrams(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``(doc_id, term array<string>)``: each contiguous n-gram whose words all pass ``keep``."""
-    if n < 1:
-        raise ValueError("n must be at least 1")
+def _grams(n: int) -> Column:
+    """All n-grams of ``tokens`` as an array of arrays, from shifted arrays zipped."""
     tokens = F.col("tokens")
     if n == 1:
-        grams = docs.select("doc_id", F.explode("tokens").alias("w")).select("doc_id", F.array("w").alias("term"))
-    else:
-        # the positions are exploded with the shifted arrays zipped, so no document is carried along per position
-        shifted = [F.slice(tokens, k + 1, F.greatest(F.size(tokens) - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n)]
-        zipped = docs.where(F.size(tokens) >= n).select("doc_id", F.explode(F.arrays_zip(*shifted)).alias("z"))
-        grams = zipped.select("doc_id", F.array(*[F.col(f"z.w{k}") for k in range(n)]).alias("term"))
-    return grams.where(F.forall("term", keep)) if keep else grams
+        return F.transform(tokens, lambda w: F.array(w))
+    length = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(tokens, k + 1, length).alias(f"w{k}") for k in range(n)])
+    return F.transform(zipped, lambda z: F.array(*[z[f"w{k}"] for k in range(n)]))
+
+
+def _kept(grams: Column, keep: Callable[[Column], Column] | None) -> Column:
+    return F.filter(grams, lambda g: F.forall(g, keep)) if keep else grams
+
+
+def ngrams(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None, distinct: bool = False, *carry: str) -> DataFrame:
+    """``(doc_id, *carry, term array<string>)``: each contiguous n-gram whose words all pass ``keep``.
+
+    With ``distinct`` each n-gram once a document, found within the row.
+    """
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    grams = _kept(_grams(n), keep)
+    return docs.where(F.size("tokens") >= n).select("doc_id", *carry, F.explode(F.array_distinct(grams) if distinct else grams).alias("term"))
 
 
 def ngram_counts(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(term, freq, doc_freq)`` of the n-grams.
 
-    Counted by document first, with partial sums, so a frequent term meets one row a document.
+    The n-grams of a document are sorted within its row, so the first of equal ones stands for the
+    document; both counts then come from one aggregation with partial sums and one shuffle.
     """
-    by_doc = ngrams(docs, n, keep).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return by_doc.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("doc_freq"))
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    rows = docs.where(F.size("tokens") >= n).select(F.sort_array(_kept(_grams(n), keep)).alias("g"))
+    before = F.concat(F.array(F.lit(None).cast("array<string>")), F.slice("g", F.lit(1), F.size("g") - 1))
+    each = rows.where(F.size("g") > 0).select(F.explode(F.arrays_zip(F.col("g").alias("term"), before.alias("before"))).alias("z"))
+    first = F.col("z.before").isNull() | (F.col("z.before") != F.col("z.term"))
+    return each.groupBy("z.term").agg(F.count("*").alias("freq"), F.count_if(first).alias("doc_freq"))
 
 
 def corpus_size(docs: DataFrame, n: int = 1) -> DataFrame:

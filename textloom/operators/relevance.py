@@ -36,7 +36,7 @@ def terms_in_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     lengths = [r[0] for r in terms.select(F.size("term")).distinct().collect()]
     found = None
     for n in sorted(lengths):
-        part = ngrams(docs, n).join(terms.where(F.size("term") == n).select("term", "ord"), "term").select("doc_id", "term", "ord").distinct()
+        part = ngrams(docs, n, None, True).join(terms.where(F.size("term") == n).select("term", "ord"), "term").select("doc_id", "term", "ord")
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.select("doc_id").limit(0).crossJoin(terms.select("term", "ord").limit(0))
 
@@ -64,7 +64,8 @@ def baseline(docs: DataFrame, core: DataFrame) -> tuple[float, list[str]]:
 def cooccurrence_counts(docs: DataFrame, core: DataFrame, n: int, stopwords: Iterable[str] | None = None) -> DataFrame:
     """``(term, term_count, cooc_count)`` of the n-grams that share a document with a core term."""
     flagged = terms_in_documents(docs, core).select("doc_id").distinct().withColumn("core", F.lit(True))
-    each = ngrams(docs, n).distinct().join(flagged, "doc_id", "left")
+    # documents meet the flag before their n-grams are opened
+    each = ngrams(docs.join(flagged, "doc_id", "left"), n, None, True, "core")
     counts = each.groupBy("term").agg(F.count("*").alias("term_count"), F.count("core").alias("cooc_count")).where(F.col("cooc_count") > 0)
     counts = counts.join(F.broadcast(core.select("term")), "term", "left_anti")
     return counts.where(~edge_stopword(F.col("term"), stopwords)) if stopwords is not None else counts
