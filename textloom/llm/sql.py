@@ -47,7 +47,54 @@ _TOKENS = rf"""coalesce(len(regexp_extract_all(
   regexp_replace(text, '[{_WS}]+([{_WS}])([^{_WS}])', chr(57344) || '\1\2', 'g'),
   '\x{{e000}}|''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\x{{e000}}{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+')), 0)"""
 
+_KEYED = rf"""
+latest as (
+  select id, url, text_deduped from articles where id is not null
+  qualify row_number() over (partition by id order by ingested_at desc nulls last) = 1
+), sites as (
+  select id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www\.', ''), '') as site, text_deduped as text from latest
+), keyed as (
+  select id, site, pos, raw, trim(regexp_replace(regexp_replace(lower(raw), '[0-9]+', '0', 'g'), '[{_WS}]+', ' ', 'g')) as line
+  from sites, unnest(string_split(text, chr(10))) with ordinality as u(raw, pos)
+), single as (
+  select site, line from keyed where site is not null and line <> '' group by site, line having count(distinct id) >= 5
+)
+"""
+
+# windows of 200 characters that at least two documents have
+_WINDOWS = rf"""
+normal as (
+  select doc_id, trim(regexp_replace(text, '[{_WS}]+', ' ', 'g')) as t from documents
+), windows as (
+  select doc_id, i, hash(substr(t, i, 200)) as h from (select * from normal where length(t) >= 200), unnest(range(1, length(t) - 198)) as u(i)
+), several as (
+  select h from windows group by h having min(doc_id) <> max(doc_id)
+), shared as (
+  select doc_id, i, h from windows where h in (select h from several)
+)
+"""
+
 ORACLE = {
+    "p10_found": f"""with {_WINDOWS} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from (select distinct doc_id, h from shared) a
+        join (select distinct doc_id, h from shared) b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p10_shared_parts": f"""with {_WINDOWS}, steps as (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) as n from shared),
+        covered as (select doc_id, sum(n)::bigint as n from steps group by doc_id)
+        select doc_id, coalesce(length(t), 0)::int as n_chars, coalesce(n, 0) as shared_chars, coalesce(coalesce(n, 0) / nullif(length(t), 0), 0) as shared_share
+        from normal left join covered using (doc_id)""",
+    "p6_sequences": f"""with {_KEYED}, ranked as (
+          select k.id, k.site, row_number() over (partition by k.id order by k.pos) as r, k.line, s.line is not null as often
+          from keyed k left join single s on k.site = s.site and k.line = s.line where k.line <> '' and k.site is not null
+        ), runs as (
+          select id, site, r, line, r - row_number() over (partition by id order by r) as run from ranked where often
+        ), texts as (
+          select id, site, list(line order by r) as lines from runs group by id, site, run
+        ), parts as (
+          select distinct id, site, array_to_string(lines[i:i + n - 1], chr(10)) as lines, n::int as n_lines
+          from texts, unnest(range(1, 6)) as v(n), unnest(range(1, len(lines) - n + 2)) as u(i)
+        ) select site, lines, n_lines, count(*) as n_documents from parts group by site, lines, n_lines having count(*) >= 5""",
+    "p6_cleaned": f"""with {_KEYED}, marked as (select k.*, s.line is not null as gone from keyed k left join single s on k.site = s.site and k.line = s.line),
+        made as (select id, coalesce(string_agg(raw, chr(10) order by pos) filter (where not gone), '') as clean, count(*) filter (where gone) as n from marked where site is not null group by id)
+        select s.id, case when m.id is null then s.text else m.clean end as text_clean, coalesce(m.n, 0) as n_removed from sites s left join made m using (id)""",
     "p1_found": f"""with {_TERMS} select term, case when records <= 2 then 'rare' else 'common' end as mark
         from counted, whole where records <= 2 or records > 0.4 * n""",
     "p1_term_counts": f"""with {_TERMS} select term, occurrences, records,
