@@ -70,6 +70,7 @@ def test_relevance(spark):
         relevance.baseline(docs, relevance.term_table(spark, ["a"]))
     with pytest.raises(ValueError):
         relevance.baseline(docs, relevance.term_table(spark, ["a", "missing"]))
+    assert relevance.baseline(docs, relevance.term_table(spark, ["a", "missing"]), strict=False) == (0.0, ["a"])
     with pytest.raises(ValueError):
         relevance.normal_terms(["a", ("a",)])
     with pytest.raises(TypeError):

@@ -75,16 +75,22 @@ def apply_removal(df: DataFrame, condition: Column, file: str | None = None) ->
     return df.where(holds | F.coalesce(F.contains(F.col(file), F.lit("deduped")), F.lit(False))) if file else df.where(holds)
 
 
+#: The agency's mark, the tier that is not free, addresses of further pages.
+AGENCY_MARK = "© dpa-infocom"
+LOCKED_TIER = "locked"
+FURTHER_PAGE = "/seite-[0-9]+"
+
+
 def not_agency(text: Column) -> Column:
-    return ~F.coalesce(F.contains(text, F.lit("© dpa-infocom")), F.lit(False))
+    return ~F.coalesce(F.contains(text, F.lit(AGENCY_MARK)), F.lit(False))
 
 
 def not_locked(tier: Column) -> Column:
-    return F.coalesce(tier != "locked", F.lit(True))
+    return F.coalesce(tier != LOCKED_TIER, F.lit(True))
 
 
 def not_multipage(url: Column) -> Column:
-    return ~F.coalesce(url.rlike("/seite-[0-9]+"), F.lit(False))
+    return ~F.coalesce(url.rlike(FURTHER_PAGE), F.lit(False))
 
 
 def words_of(text: Column) -> Column:

@@ -49,13 +49,17 @@ def core_counts(docs: DataFrame, core: DataFrame) -> DataFrame:
     return counted.select("term", "ord", "term_count", "cooc_count", (F.col("cooc_count") / F.col("term_count")).alias("qtr"))
 
 
-def baseline(docs: DataFrame, core: DataFrame) -> tuple[float, list[str]]:
-    """Smallest share among the core terms, and its term (the first in order of ties)."""
+def baseline(docs: DataFrame, core: DataFrame, strict: bool = True) -> tuple[float, list[str]]:
+    """Smallest share among the core terms, and its term (the first in order of ties).
+
+    Core terms that no document holds are an error, or are passed over if not ``strict``; then at
+    least one must be found.
+    """
     size = core.count()
     if size < 2:
         raise ValueError("at least two core terms are needed")
     counts = core_counts(docs, core).orderBy("qtr", "ord").collect()
-    if len(counts) < size:
+    if len(counts) < size and (strict or not counts):
         missing = {tuple(r.term) for r in core.collect()} - {tuple(r.term) for r in counts}
         raise ValueError(f"terms not found in the corpus: {sorted(missing)}")
     return counts[0].qtr, counts[0].term

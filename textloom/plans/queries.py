@@ -75,9 +75,9 @@ def source_load_corpus(spark, folder):
     return docs.select("doc_id", fw.chained_source(F.col("url"), SOURCES).alias("source"), F.size("tokens").alias("n_tokens"))
 
 
-@query(f"with {_LATEST} select id from latest order by md5('7:' || id), id limit 100")
+@query(f"with {_LATEST} select id from latest order by md5('7:' || id), id limit 50")
 def source_reference_sample(spark, folder):
-    return readers.reference_sample(articles(spark, folder).select("id"), "id", 100, seed=7)
+    return readers.reference_sample(articles(spark, folder).select("id"), "id", 50, seed=7)
 
 
 @query("select distinct source from articles")
@@ -617,7 +617,7 @@ def rel_terms_in_documents(spark, folder):
 
 @query(f"with {_CORE_HITS} select term, round(qtr, 6) as qtr from core_counts order by core_counts.qtr, ord limit 1")
 def rel_baseline(spark, folder):
-    value, term = relevance.baseline(words(spark, folder), _core(spark, folder))
+    value, term = relevance.baseline(words(spark, folder), _core(spark, folder), strict=False)
     return spark.createDataFrame([(" ".join(term), round(value, 6))], "term string, qtr double")
 
 
@@ -636,7 +636,7 @@ def rel_cooccurrence_counts(spark, folder):
 def _register_relevance(metric: str, sql: str) -> None:
     def run(spark, folder):
         docs, core = cut_lineage(words(spark, folder)), _core(spark, folder)
-        base, _ = relevance.baseline(docs, core)
+        base, _ = relevance.baseline(docs, core, strict=False)
         found = relevance.relevance(relevance.cooccurrence_counts(docs, core, 1, stopwords(spark, folder)), base, metric, 5)
         return _joined(_rounded(found, "score"))
 
@@ -656,7 +656,7 @@ def rel_combined(spark, folder):
     study, reference, docs, hits = _study(spark, folder)
     core, stop = _core(spark, folder), stopwords(spark, folder)
     keys = keyness.keywords(study, reference, 2, min_docs=3, min_freq=3, stopwords=stop).select("term", "keyness")
-    base, _ = relevance.baseline(docs, core)
+    base, _ = relevance.baseline(docs, core, strict=False)
     scores = relevance.relevance(relevance.cooccurrence_counts(docs, core, 1, stop), base).select("term", "score")
     both = wordlists.combined_scores(keys, scores).where(F.col("keyness") > 15.13)
     return _joined(both.select("term", F.round("keyness", 4).alias("keyness"), F.round("score", 4).alias("score")))
