@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from textloom.llm.consensus import annotator_weight, chi2_lower, truth_discovery
 
 
@@ -37,16 +39,34 @@ def test_recovers_planted_truth_and_skills(spark):
     assert by["a"] > by["c"] > by["d"]
 
 
-def test_jobs_equal_driver(spark):
+@pytest.mark.parametrize("ordered", [False, True])
+def test_jobs_equal_driver(spark, ordered):
     _, votes = _planted(5, 60)
     df = spark.createDataFrame(votes, "item string, annotator string, label string")
-    a, pa = truth_discovery(df)
-    b, pb = truth_discovery(df, driver_votes=0, rounds=30)
+    a, pa = truth_discovery(df, rounds=6, ordered=ordered)
+    b, pb = truth_discovery(df, driver_votes=0, rounds=6, ordered=ordered)
     assert {(r["item"], r.label) for r in a.collect()} == {(r["item"], r.label) for r in b.collect()}
     x, y = ({r.annotator: (r.n_votes, round(r.reliability, 6), round(r.weight, 2)) for r in p.collect()} for p in (pa, pb))
     assert x == y
 
 
+def test_errors_to_one_side(spark):
+    # two who err upwards agree on the wrong label; the third is right
+    rnd = random.Random(8)
+    truth, votes = {}, []
+    for k in range(900):
+        truth[f"i{k}"] = t = rnd.choice([1, 2, 3])
+        for who, p in (("a", 0.9), ("b", 0.93), ("c", 0.6), ("d", 0.6)):
+            v = t if rnd.random() < p else (max(1, t - 1) if who in "cd" else rnd.choice([1, 2, 3]))
+            votes.append((f"i{k}", who, str(v)))
+    df = spark.createDataFrame(votes, "item string, annotator string, label string")
+    right = {}
+    for ordered in (False, True):
+        agreed, _ = truth_discovery(df, ordered=ordered)
+        right[ordered] = sum(str(truth[r["item"]]) == r.label for r in agreed.collect()) / len(truth)
+    assert right[True] > 0.93 and right[True] >= right[False] - 0.002
+
+
 def test_nulls_repeats_and_empty(spark):
     schema = "item string, annotator string, label string, signature string"
     rows = [("i", "a", "x", None), ("i", "a", "x", None), ("i", "b", None, "s"), (None, "a", "x", None), ("j", None, "x", None), ("i", "c", "y", None), ("i", "d", "x", None)]

@@ -55,17 +55,17 @@ def _votes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows, votes = _votes(spark, folder)
-    agreed, _ = consensus.truth_discovery(votes)
+    agreed, _ = consensus.truth_discovery(votes, ordered=True)
     both = agreed.where(F.col("n_votes") >= 3).join(rows.select(F.col("id").alias("item"), "gold"), "item")
     return both.where(~F.col("gold").eqNullSafe(F.col("label"))).select(F.col("item").alias("id"), "label")
 
 
 def p4_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.truth_discovery(_votes(spark, folder)[1])[0].withColumnRenamed("item", "id")
+    return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[0].withColumnRenamed("item", "id")
 
 
 def p4_annotators(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.truth_discovery(_votes(spark, folder)[1])[1]
+    return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[1]
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:

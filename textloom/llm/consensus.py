@@ -9,7 +9,8 @@ with few votes gets little weight even if these agree by luck.
 Two points differ from plain inverse-error weights, under which one annotator soon
 dictates every consensus and thereby confirms themselves: the weight is the log-odds
 of the bounded error, and distances are taken to the consensus as a distribution over
-labels (softmax of the weighted votes) while rounds last.
+labels (softmax of the weighted votes). Labels in an order may further have two distances an
+annotator, for votes below and above the consensus, as people tend to err to one side.
 
 Items with the same set of votes have the same consensus, so votes are first grouped
 to signatures with their number of items; the iteration runs over these.
@@ -20,13 +21,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 ALPHA = 0.05
-ROUNDS = 30
+ROUNDS = 80
 TOLERANCE = 1e-4
 #: Signature votes that the driver may iterate over; beyond it the rounds are Spark jobs.
 DRIVER_VOTES = 200_000
@@ -66,6 +67,7 @@ def truth_discovery(
     label: str = "label",
     alpha: float = ALPHA,
     rounds: int = ROUNDS,
+    ordered: bool = False,
     driver_votes: int = DRIVER_VOTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Consensus per item and reliability per annotator.
@@ -75,8 +77,10 @@ def truth_discovery(
     item the smallest counts. Returns ``(item, label, n_votes, agreement, confidence)``
     - agreement is the share of vote pairs that agree (1 for one vote), confidence the
     weighted share of the consensus - and ``(annotator, n_votes, reliability, weight)``,
-    reliability being the share of votes that equal the consensus. Equal weighted
-    distances are decided by the smaller label. No votes give two empty tables.
+    reliability being the share of votes that equal the consensus and weight the mean of its
+    two distances. The consensus is one of the item's votes; equal weighted distances are
+    decided by the smaller label. ``ordered`` takes the labels' order as theirs. No votes
+    give two empty tables.
     """
     clean = (
         votes.select(F.col(item).alias("item"), F.col(annotator).cast("string").alias("annotator"), F.col(label).cast("string").alias("label"))
@@ -91,9 +95,9 @@ def truth_discovery(
     signatures = cut_lineage(signatures)
     size = signatures.select(F.sum(F.size("votes"))).first()[0] or 0
     if size <= driver_votes:
-        solved, people = _solve_in_driver(signatures, alpha, rounds)
+        solved, people = _solve_in_driver(signatures, alpha, rounds, ordered)
     else:
-        solved, people = _solve_in_jobs(signatures, alpha, rounds)
+        solved, people = _solve_in_jobs(signatures, alpha, rounds, ordered)
     outcome = signed.join(solved, "signature").select(
         "item",
         "label",
@@ -116,73 +120,99 @@ def _agreement(votes: Column) -> Column:
     return F.when(n < 2, F.lit(1.0)).otherwise(same / (n * (n - 1)))
 
 
-def _solve_in_driver(signatures: DataFrame, alpha: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _new_weights(n_over, d_over, n_under, d_under, n_votes, labels: int, alpha: float, ordered: bool) -> tuple[float, float]:
+    """Distances of votes below and above the consensus."""
+    if not ordered:
+        both = annotator_weight(n_votes, d_over + d_under, labels, alpha)
+        return both, both
+    return annotator_weight(n_over, d_over, labels, alpha), annotator_weight(n_under, d_under, labels, alpha)
+
+
+def _solve_in_driver(signatures: DataFrame, alpha: float, rounds: int, ordered: bool) -> tuple[DataFrame, DataFrame]:
     spark = signatures.sparkSession
     rows = sorted(((r.signature, [(v.annotator, v.label) for v in r.votes], r["items"]) for r in signatures.collect()))
     people = sorted({a for _, votes, _ in rows for a, _ in votes})
     labels = sorted({x for _, votes, _ in rows for _, x in votes})
-    at, of = {a: k for k, a in enumerate(people)}, {x: k for k, x in enumerate(labels)}
-    row = np.array([k for k, (_, votes, _) in enumerate(rows) for _ in votes], dtype=np.int64)
+    k = len(labels)
+    at, of = {a: n for n, a in enumerate(people)}, {x: n for n, x in enumerate(labels)}
+    row = np.array([n for n, (_, votes, _) in enumerate(rows) for _ in votes], dtype=np.int64)
     who = np.array([at[a] for _, votes, _ in rows for a, _ in votes], dtype=np.int64)
     what = np.array([of[x] for _, votes, _ in rows for _, x in votes], dtype=np.int64)
     times = np.array([n for _, _, n in rows], dtype=float)
-    weight = np.ones(len(people))
-    cast = np.bincount(who, weights=times[row] if len(row) else None, minlength=len(people))
-    chosen = np.empty(0, dtype=np.int64)
-    score = np.zeros((len(rows), max(1, len(labels))))
+    if not rows:
+        return spark.createDataFrame([], _SOLVED), spark.createDataFrame([], _PEOPLE)
+    below = what[:, None] < np.arange(k)[None, :]
+    above = what[:, None] > np.arange(k)[None, :]
+    voted = np.zeros((len(rows), k), dtype=bool)
+    voted[row, what] = True
+    over, under = np.ones(len(people)), np.ones(len(people))
+    cast = np.bincount(who, weights=times[row], minlength=len(people))
     for _ in range(rounds):
-        score = np.zeros((len(rows), max(1, len(labels))))
-        np.add.at(score, (row, what), weight[who])
-        if not len(rows):
-            break
-        chosen = (score > score.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)
+        cost = np.where(below, over[who][:, None], 0.0) + np.where(above, under[who][:, None], 0.0)
+        score = np.zeros((len(rows), k))
+        np.add.at(score, row, -cost)
         likely = np.exp(score - score.max(axis=1, keepdims=True))
         likely /= likely.sum(axis=1, keepdims=True)
-        distance = np.bincount(who, weights=times[row] * (1 - likely[row, what]), minlength=len(people))
-        before, weight = weight, np.array([annotator_weight(n, d, len(labels), alpha) for n, d in zip(cast, distance)])
-        if np.abs(weight - before).max() < TOLERANCE:
+        mass = likely[row] * times[row][:, None]
+        sums = [np.bincount(who, weights=x, minlength=len(people)) for x in (mass[:, 1:].sum(axis=1), (mass * below).sum(axis=1), mass[:, :-1].sum(axis=1), (mass * above).sum(axis=1))]
+        new = np.array([_new_weights(*x, n, k, alpha, ordered) for *x, n in zip(*sums, cast)])
+        moved = max(np.abs(new[:, 0] - over).max(), np.abs(new[:, 1] - under).max())
+        over, under = new[:, 0], new[:, 1]
+        if moved < TOLERANCE:
             break
-    right = np.bincount(who, weights=times[row] * (what == chosen[row]), minlength=len(people)) if len(row) else cast
-    top = [float(score[k, chosen[k]] / score[k].sum()) for k in range(len(rows))] if len(rows) else []
-    solved = spark.createDataFrame([(rows[k][0], labels[chosen[k]], top[k]) for k in range(len(rows))], "signature string, label string, confidence double")
-    known = spark.createDataFrame(
-        [(a, int(cast[k]), float(right[k] / cast[k]), float(weight[k])) for a, k in at.items()],
-        "annotator string, n_votes long, reliability double, weight double",
-    )
-    return solved, known
+    open_ = np.where(voted, score, -np.inf)
+    chosen = (open_ > open_.max(axis=1, keepdims=True) - 1e-9).argmax(axis=1)
+    right = np.bincount(who, weights=times[row] * (what == chosen[row]), minlength=len(people))
+    solved = [(rows[n][0], labels[chosen[n]], float(likely[n, chosen[n]])) for n in range(len(rows))]
+    known = [(a, int(cast[n]), float(right[n] / cast[n]), float((over[n] + under[n]) / 2)) for a, n in at.items()]
+    return spark.createDataFrame(solved, _SOLVED), spark.createDataFrame(known, _PEOPLE)
 
 
-def _solve_in_jobs(signatures: DataFrame, alpha: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The same rounds as Spark jobs; only one number a round reaches the driver."""
+_SOLVED = "signature string, label string, confidence double"
+_PEOPLE = "annotator string, n_votes long, reliability double, weight double"
+MAX_LABELS = 1000
+
+
+def _solve_in_jobs(signatures: DataFrame, alpha: float, rounds: int, ordered: bool) -> tuple[DataFrame, DataFrame]:
+    """The same rounds as Spark jobs; the labels and one number a round reach the driver."""
     long = cut_lineage(signatures.select("signature", "items", F.explode("votes").alias("v")).select("signature", "items", "v.annotator", "v.label"))
-    n_labels = long.select(F.count_distinct("label")).first()[0]
-    weights = long.groupBy("annotator").agg(F.lit(1.0).alias("weight"))
-    weigh = F.udf(lambda n, d: annotator_weight(float(n), float(d), n_labels, alpha), "double")
-    scored = None
+    labels = sorted(r.label for r in long.select("label").distinct().limit(MAX_LABELS + 1).collect())
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    listed = F.explode(F.array(*[F.lit(x) for x in labels]))
+    weigh = F.udf(lambda no, do, nu, du, n: list(_new_weights(no, do, nu, du, n, len(labels), alpha, ordered)), "array<double>")
+    weights = long.groupBy("annotator").agg(F.lit(1.0).alias("over"), F.lit(1.0).alias("under"))
+    likely = None
     for _ in range(rounds):
-        scored = cut_lineage(long.join(weights, "annotator").groupBy("signature", "label").agg(F.sum("weight").alias("w")))
-        most = scored.groupBy("signature").agg(F.max("w").alias("top"))
-        likely = scored.join(most, "signature").withColumn("e", F.exp(F.col("w") - F.col("top")))
-        unvoted = (F.lit(n_labels) - F.count("*")) * F.exp(-F.first("top"))
-        whole = likely.groupBy("signature").agg((F.sum("e") + unvoted).alias("whole"))
-        likely = likely.join(whole, "signature").select("signature", "label", (F.col("e") / F.col("whole")).alias("p"))
-        people = long.join(likely, ["signature", "label"]).groupBy("annotator").agg(F.sum("items").alias("n"), F.sum(F.col("items") * (1 - F.col("p"))).alias("d"))
-        new = cut_lineage(people.select("annotator", weigh("n", "d").alias("weight")))
-        moved = new.join(weights.withColumnRenamed("weight", "old"), "annotator").agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+        opened = long.join(weights, "annotator").select("signature", "label", "over", "under", listed.alias("truth"))
+        cost = F.when(F.col("label") < F.col("truth"), F.col("over")).when(F.col("label") > F.col("truth"), F.col("under")).otherwise(0.0)
+        scored = opened.groupBy("signature", "truth").agg((-F.sum(cost)).alias("score"))
+        within = Window.partitionBy("signature")  # a row a label
+        likely = scored.withColumn("e", F.exp(F.col("score") - F.max("score").over(within)))
+        likely = cut_lineage(likely.withColumn("p", F.col("e") / F.sum("e").over(within)).select("signature", "truth", "score", "p"))
+        judged = long.join(likely, "signature")
+        mass = F.col("p") * F.col("items")
+        sums = judged.groupBy("annotator").agg(
+            F.sum(F.when(F.col("truth") != labels[0], mass).otherwise(0.0)).alias("no"),
+            F.sum(F.when(F.col("label") < F.col("truth"), mass).otherwise(0.0)).alias("do"),
+            F.sum(F.when(F.col("truth") != labels[-1], mass).otherwise(0.0)).alias("nu"),
+            F.sum(F.when(F.col("label") > F.col("truth"), mass).otherwise(0.0)).alias("du"),
+            F.sum(mass).alias("n"),
+        )
+        new = sums.select("annotator", weigh("no", "do", "nu", "du", "n").alias("w")).select("annotator", F.col("w")[0].alias("over"), F.col("w")[1].alias("under"))
+        new = cut_lineage(new)
+        old = weights.select("annotator", F.col("over").alias("o"), F.col("under").alias("u"))
+        moved = new.join(old, "annotator").agg(F.max(F.greatest(F.abs(F.col("over") - F.col("o")), F.abs(F.col("under") - F.col("u"))))).first()[0]
         weights = new
         if moved is None or moved < TOLERANCE:
             break
-    heaviest = F.max(F.round("w", 9)).alias("top")
-    tops = scored.groupBy("signature").agg(heaviest, F.sum("w").alias("whole"))
-    chosen = (
-        scored.join(tops, "signature")
-        .where(F.round("w", 9) == F.col("top"))
-        .groupBy("signature")
-        .agg(F.min("label").alias("label"), (F.first("top") / F.first("whole")).alias("confidence"))
-    )
+    votes = long.select("signature", F.col("label").alias("truth")).distinct()
+    open_ = likely.join(votes, ["signature", "truth"])
+    top = open_.groupBy("signature").agg(F.max(F.round("score", 9)).alias("top"))
+    chosen = open_.join(top, "signature").where(F.round("score", 9) == F.col("top")).groupBy("signature").agg(F.min("truth").alias("label"), F.min_by("p", "truth").alias("confidence"))
     judged = long.join(chosen.select("signature", F.col("label").alias("truth")), "signature")
     people = judged.groupBy("annotator").agg(
         F.sum("items").alias("n_votes"),
         (F.sum(F.when(F.col("label") == F.col("truth"), F.col("items")).otherwise(0)) / F.sum("items")).alias("reliability"),
     )
-    return chosen, people.join(weights, "annotator")
+    return chosen, people.join(weights, "annotator").select("annotator", "n_votes", "reliability", ((F.col("over") + F.col("under")) / 2).alias("weight"))
