@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.html_blocks import block_key, blocks
 from textloom.llm.main_content import article_content
-from textloom.llm.shared_spans import _symbols, common_spans, normal_text, recompress, shared_parts, shared_spans, sharing_pairs, span_keys
+from textloom.llm.shared_spans import _symbols, common_spans, normal_text, recompress, shared_parts, shared_spans, sharing_pairs, span_keys, span_table
 
 
 def _words(rnd, n):
@@ -45,13 +45,26 @@ def _documents(seed):
 def test_pairs_equal_brute_force(spark, seed, hot):
     rows = _documents(seed)
     df = spark.createDataFrame([(k, t, "a") for k, t in rows], "doc long, text string, span_key string").repartition(3)
-    spans, classes = shared_spans(df, "doc", "text", 200, hot)
-    got = {tuple(r) for r in sharing_pairs(spans, classes).collect()}
+    shared = shared_spans(df, "doc", "text", 200, hot)
+    got = {tuple(r) for r in sharing_pairs(shared).collect()}
     texts = {k: normal_text(t) for k, t in rows}
-    want = _brute({k: t for k, t in texts.items() if len(t) >= 200}, 200)
+    long = {k: t for k, t in texts.items() if len(t) >= 200}
+    want = _brute(long, 200)
     assert got == want and len(want) > 20
-    for r in spans.collect():
+    assert (shared.windows.count() > 0) == (hot == 2)
+    for r in span_table(shared).collect():
         assert r.size >= 200 and texts[r.doc_a][r.start_a : r.start_a + r.size] == texts[r.doc_b][r.start_b : r.start_b + r.size]
+    seen = {}
+    for k, t in long.items():
+        for i in range(len(t) - 199):
+            seen.setdefault(t[i : i + 200], set()).add(k)
+    parts = {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text", 200, hot).collect()}
+    for k, t in texts.items():
+        covered = set()
+        for i in range(len(t) - 199):
+            if len(seen.get(t[i : i + 200], ())) > 1:
+                covered.update(range(i, i + 200))
+        assert parts[k] == len(covered)
 
 
 def test_shared_parts(spark):
@@ -66,9 +79,9 @@ def test_shared_parts(spark):
 
 def test_large_class_is_a_star(spark):
     rows = [(k, "copy of a text " * 20) for k in range(30)]
-    spans, classes = shared_spans(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")
-    assert sharing_pairs(spans, classes).count() == 30 * 29 // 2
-    assert {tuple(r) for r in sharing_pairs(spans, classes, class_pairs=10).collect()} == {(0, k) for k in range(1, 30)}
+    shared = shared_spans(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")
+    assert sharing_pairs(shared).count() == 30 * 29 // 2
+    assert {tuple(r) for r in sharing_pairs(shared, class_pairs=10).collect()} == {(0, k) for k in range(1, 30)}
 
 
 def test_equal_substrings_get_equal_symbols():

@@ -160,12 +160,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = shared_spans.sharing_pairs(*shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text"))
+    pairs = shared_spans.sharing_pairs(shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text"))
     return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
 def p10_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text")[0]
+    return shared_spans.span_table(shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text"))
 
 
 def p10_shared_parts(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,17 +8,19 @@ exchange between tasks; only a few symbols at their ends depend on the surroundi
 that cover enough text are not compressed further, which keeps that margin small.
 
 Neighbouring symbols that together cover ``KEY_CHARS`` characters form a key. Keys in more
-than one text reveal candidates. Keys that many texts have are first refined to hashes of
-the windows of ``length`` characters around them, so a common phrase gives no candidates;
-keys of the same set of texts are merged to one; and every pair that is left is verified on
-whole texts.
+than one text reveal candidates: keys of the same set of texts are merged to one, and every
+pair that is left is verified on whole texts. Keys that many texts have do not become pairs:
+they are refined to fingerprints of the windows of ``length`` characters around them, which
+are exact by themselves, so a phrase in a third of all texts costs rows in proportion to its
+occurrences.
 
-Exact copies are one class; pairs are found between classes.
+Exact copies are one class; spans are found between classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -189,21 +191,22 @@ def _digests(length: int):
 
 
 def _windows(length: int):
-    """Hashes of the windows of ``length`` characters around a key's place."""
+    """Fingerprints of the windows of ``length`` characters around a key's places in a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs = [], []
-            for doc, value, start, size in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            keys, at, starts = [], [], []
+            for row, (value, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 text = normal_text(value)
-                lo, hi = max(0, start + size - length), min(start, len(text) - length)
-                if hi < lo:
-                    continue
-                for k in range(lo, hi + 1):
-                    digest = xxhash.xxh3_64_intdigest(text[k : k + length].encode("utf-8", "surrogatepass"))
-                    keys.append(digest - (1 << 64) if digest >= 1 << 63 else digest)
-                    docs.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, batch.schema.field(0).type)], names=["span_key", "doc"])
+                firsts: set[int] = set()
+                for place in places:
+                    lo, hi = place["start"] + place["size"] - length, place["start"]
+                    firsts.update(range(max(0, lo), min(hi, len(text) - length) + 1))
+                for k in firsts:
+                    keys.append(xxhash.xxh3_128_digest(text[k : k + length].encode("utf-8", "surrogatepass")))
+                    starts.append(k)
+                at += [row] * len(firsts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32())], names=["span_key", "doc", "start"])
 
     return run
 
@@ -264,13 +267,26 @@ def _sets(members: DataFrame) -> DataFrame:
     return distinct.join(kept.select("span_key"), "span_key")
 
 
-def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH, hot_texts: int = HOT_TEXTS) -> tuple[DataFrame, DataFrame]:
-    """Maximal spans of at least ``length`` characters that two different texts share.
+@dataclass
+class Shared:
+    """What texts share. ``doc`` and ``doc_a < doc_b`` are classes of copies (their least key).
+
+    ``spans`` ``(doc_a, doc_b, start_a, start_b, size)``: maximal spans of verified pairs;
+    ``windows`` ``(span_key, doc, start)``: windows of ``length`` characters that several texts
+    have, of passages that many texts have; ``classes`` ``(doc, class)``.
+    """
+
+    spans: DataFrame
+    windows: DataFrame
+    classes: DataFrame
+    length: int
+
+
+def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH, hot_texts: int = HOT_TEXTS) -> Shared:
+    """Spans of at least ``length`` characters that two different texts share.
 
     White-space runs count as one blank and texts are trimmed first; positions refer to that
     form. Rows with a null key or text and shorter texts share nothing; keys are unique.
-    Returns ``(doc_a, doc_b, start_a, start_b, size)`` over classes of copies (``doc_a <
-    doc_b`` by least key) and the classes ``(doc, class)``.
     """
     kind = documents.schema[key].dataType.simpleString()
     texts = documents.where(F.col(key).isNotNull() & (F.length(text) >= length)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
@@ -278,40 +294,57 @@ def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH
     keys = texts.mapInArrow(_keys(length), f"span_key bigint, doc {kind}, start int, size int")
     by_key = Window.partitionBy("span_key")
     several = keys.withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key)).where(F.col("lo") < F.col("hi")).drop("lo", "hi")
-    named = classes.select(F.col("doc"), F.col("class"))
-    several = several.join(named, "doc").select("span_key", F.col("class").alias("doc"), "start", "size")
+    # copies that different tasks read count as their class; its own text has the same places
+    several = several.join(classes, "doc").select("span_key", F.col("class").alias("doc"), "start", "size").distinct()
     several = cut_lineage(several)
-    sizes = several.groupBy("span_key").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > hot_texts).select("span_key")
+    hot = several.groupBy("span_key").agg(F.count("*").alias("n")).where(F.col("n") > hot_texts).select("span_key")
     usual = several.join(hot, "span_key", "left_anti")
-    # of the places of a hot key each class counts by itself; text is read for these rows only
-    placed = several.join(hot, "span_key").select("doc", "start", "size").distinct().join(texts, "doc").select("doc", "text", "start", "size")
-    refined = placed.mapInArrow(_windows(length), f"span_key bigint, doc {kind}")
-    members = cut_lineage(_sets(usual.select("span_key", "doc")).unionByName(_sets(refined)))
-    left = members.select("span_key", F.col("doc").alias("doc_a"))
-    right = members.select("span_key", F.col("doc").alias("doc_b"))
-    pairs = left.join(right, "span_key").where(F.col("doc_a") < F.col("doc_b")).select("doc_a", "doc_b").distinct()
+    members = cut_lineage(_sets(usual.select("span_key", "doc")))
+    pairs = _pairs(members)
     sided = (
         pairs.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
         .join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         .select("doc_a", "doc_b", "text_a", "text_b")
     )
     spans = sided.mapInArrow(_verify(length), f"doc_a {kind}, doc_b {kind}, start_a int, start_b int, size int")
-    return cut_lineage(spans), classes
+    places = several.join(hot, "span_key").select("doc", "start", "size").distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("places"))
+    windows = places.join(texts, "doc").select("doc", "text", "places").mapInArrow(_windows(length), f"span_key binary, doc {kind}, start int")
+    windows = cut_lineage(windows.withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key)).where(F.col("lo") < F.col("hi")).drop("lo", "hi"))
+    return Shared(cut_lineage(spans), windows, classes, length)
 
 
-def sharing_pairs(spans: DataFrame, classes: DataFrame, class_pairs: int = CLASS_PAIRS) -> DataFrame:
+def _pairs(members: DataFrame) -> DataFrame:
+    left = members.select("span_key", F.col("doc").alias("doc_a"))
+    right = members.select("span_key", F.col("doc").alias("doc_b"))
+    return left.join(right, "span_key").where(F.col("doc_a") < F.col("doc_b")).select("doc_a", "doc_b").distinct()
+
+
+def span_table(shared: Shared) -> DataFrame:
+    """``(doc_a, doc_b, start_a, start_b, size)``: every span of usual pairs; of passages that many
+    texts have, the spans of each text with the least of them (in proportion to occurrences)."""
+    by_key = Window.partitionBy("span_key")
+    star = shared.windows.withColumn("least", F.min(F.struct("doc", "start")).over(by_key)).where(F.col("doc") != F.col("least.doc"))
+    linked = star.select(F.col("least.doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.col("least.start").alias("a"), F.col("start").alias("b"))
+    side = Window.partitionBy("doc_a", "doc_b", F.col("b") - F.col("a")).orderBy("a")
+    islands = linked.withColumn("island", F.col("a") - F.row_number().over(side))
+    merged = islands.groupBy("doc_a", "doc_b", (F.col("b") - F.col("a")).alias("shift"), "island").agg(F.min("a").alias("start_a"), F.min("b").alias("start_b"), (F.max("a") - F.min("a") + shared.length).alias("size"))
+    return shared.spans.unionByName(merged.select("doc_a", "doc_b", "start_a", "start_b", "size")).distinct()
+
+
+def sharing_pairs(shared: Shared, class_pairs: int = CLASS_PAIRS) -> DataFrame:
     """Pairs of documents ``(doc_a, doc_b)``, ``doc_a < doc_b``, with a common span.
 
     Classes of up to ``class_pairs`` copies are expanded; of larger ones the members are
     paired with their representative, which alone is paired with other texts.
     """
+    classes = shared.classes
     sized = classes.groupBy("class").agg(F.count("*").alias("n"))
     multiple = classes.join(sized.where(F.col("n") > 1), "class")
     small = multiple.where(F.col("n") <= class_pairs).select("class", "doc")
     large = multiple.where((F.col("n") > class_pairs) & (F.col("doc") != F.col("class"))).select(F.col("class").alias("a"), F.col("doc").alias("b"))
     copies = small.select("class", F.col("doc").alias("a")).join(small.select("class", F.col("doc").alias("b")), "class").where(F.col("a") < F.col("b")).select("a", "b")
-    links = spans.select("doc_a", "doc_b").distinct()
+    common = _pairs(_sets(shared.windows.select("span_key", "doc")))
+    links = shared.spans.select("doc_a", "doc_b").unionByName(common).distinct()
     opened = (
         links.join(small.select(F.col("class").alias("doc_a"), F.col("doc").alias("a")), "doc_a", "left")
         .join(small.select(F.col("class").alias("doc_b"), F.col("doc").alias("b")), "doc_b", "left")
@@ -327,11 +360,12 @@ def shared_parts(documents: DataFrame, key: str, text: str, length: int = LENGTH
     Documents with a null key have no row; texts shorter than ``length`` share nothing, copies
     share all.
     """
-    spans, classes = shared_spans(documents, key, text, length, hot_texts)
+    shared = shared_spans(documents, key, text, length, hot_texts)
+    spans, classes = shared.spans, shared.classes
     sized = classes.groupBy("class").agg(F.count("*").alias("copies"))
-    sides = spans.select(F.col("doc_a").alias("class"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("size")).alias("hi")).unionByName(
-        spans.select(F.col("doc_b").alias("class"), F.col("start_b").alias("lo"), (F.col("start_b") + F.col("size")).alias("hi"))
-    )
+    sides = spans.select(F.col("doc_a").alias("class"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("size")).alias("hi"))
+    sides = sides.unionByName(spans.select(F.col("doc_b").alias("class"), F.col("start_b").alias("lo"), (F.col("start_b") + F.col("size")).alias("hi")))
+    sides = sides.unionByName(shared.windows.select(F.col("doc").alias("class"), F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
     # union of intervals: each adds what lies beyond all that began before it
     before = F.max("hi").over(Window.partitionBy("class").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
     added = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", F.coalesce(before, F.lit(0))))
