@@ -21,12 +21,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 ALPHA = 0.05
+#: Votes of an item that are gathered into one row.
+ITEM_VOTES = 1000
 ROUNDS = 80
 TOLERANCE = 1e-4
 #: Signature votes that the driver may iterate over; beyond it the rounds are Spark jobs.
@@ -69,6 +71,7 @@ def truth_discovery(
     rounds: int = ROUNDS,
     ordered: bool = False,
     driver_votes: int = DRIVER_VOTES,
+    item_votes: int = ITEM_VOTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Consensus per item and reliability per annotator.
 
@@ -88,38 +91,29 @@ def truth_discovery(
         .groupBy("item", "annotator")
         .agg(F.min("label").alias("label"))
     )
-    signed = clean.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
-    signed = signed.withColumn("signature", F.sha2(F.to_json("votes"), 256))
-    signed = cut_lineage(signed)
-    signatures = signed.groupBy("signature").agg(F.first("votes").alias("votes"), F.count("*").alias("items"))
-    signatures = cut_lineage(signatures)
+    clean = cut_lineage(clean)
+    by_label = clean.groupBy("item", "label").agg(F.count("*").cast("double").alias("c"))
+    counted = by_label.groupBy("item").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+    agreement = F.when(F.col("n") < 2, F.lit(1.0)).otherwise(F.try_divide("same", F.col("n") * (F.col("n") - 1)))
+    counted = cut_lineage(counted.select("item", F.col("n").cast("int").alias("n_votes"), agreement.alias("agreement")))
+    # items with very many votes are not gathered into a row; each is a signature of its own
+    wide = counted.where(F.col("n_votes") > item_votes).select("item")
+    usual = clean.join(wide, "item", "left_anti")
+    signed = usual.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes"))
+    signed = cut_lineage(signed.withColumn("signature", F.sha2(F.to_json("votes"), 256)))
+    signatures = cut_lineage(signed.groupBy("signature").agg(F.first("votes").alias("votes"), F.count("*").alias("items")))
+    own = F.concat(F.lit("item "), F.col("item").cast("string"))
+    wide_votes = cut_lineage(clean.join(wide, "item").select(own.alias("signature"), F.lit(1).cast("long").alias("items"), "annotator", "label"))
     size = signatures.select(F.sum(F.size("votes"))).first()[0] or 0
-    if size <= driver_votes:
+    if size <= driver_votes and not wide_votes.limit(1).count():
         solved, people = _solve_in_driver(signatures, alpha, rounds, ordered)
     else:
-        solved, people = _solve_in_jobs(signatures, alpha, rounds, ordered)
-    outcome = signed.join(solved, "signature").select(
-        "item",
-        "label",
-        F.size("votes").alias("n_votes"),
-        _agreement(F.col("votes")).alias("agreement"),
-        "confidence",
-    )
+        solved, people = _solve_in_jobs(signatures, wide_votes, alpha, rounds, ordered)
+    named = signed.select("item", "signature").unionByName(wide.select("item", own.alias("signature")))
+    outcome = named.join(solved, "signature").join(counted, "item").select("item", "label", "n_votes", "agreement", "confidence")
     return outcome, people
 
 
-def _agreement(votes: Column) -> Column:
-    """Share of the pairs of votes that have one label."""
-    labels = F.transform(votes, lambda v: v["label"])
-    n = F.size(labels).cast("double")
-    same = F.aggregate(
-        F.array_distinct(labels),
-        F.lit(0.0),
-        lambda acc, x: acc + F.size(F.filter(labels, lambda y: y == x)).cast("double") * (F.size(F.filter(labels, lambda y: y == x)) - 1),
-    )
-    return F.when(n < 2, F.lit(1.0)).otherwise(same / (n * (n - 1)))
-
-
 def _new_weights(n_over, d_over, n_under, d_under, n_votes, labels: int, alpha: float, ordered: bool) -> tuple[float, float]:
     """Distances of votes below and above the consensus."""
     if not ordered:
@@ -173,9 +167,10 @@ _PEOPLE = "annotator string, n_votes long, reliability double, weight double"
 MAX_LABELS = 1000
 
 
-def _solve_in_jobs(signatures: DataFrame, alpha: float, rounds: int, ordered: bool) -> tuple[DataFrame, DataFrame]:
+def _solve_in_jobs(signatures: DataFrame, wide_votes: DataFrame, alpha: float, rounds: int, ordered: bool) -> tuple[DataFrame, DataFrame]:
     """The same rounds as Spark jobs; the labels and one number a round reach the driver."""
-    long = cut_lineage(signatures.select("signature", "items", F.explode("votes").alias("v")).select("signature", "items", "v.annotator", "v.label"))
+    long = signatures.select("signature", "items", F.explode("votes").alias("v")).select("signature", "items", "v.annotator", "v.label")
+    long = cut_lineage(long.unionByName(wide_votes))
     labels = sorted(r.label for r in long.select("label").distinct().limit(MAX_LABELS + 1).collect())
     if len(labels) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
