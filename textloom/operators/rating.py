@@ -81,16 +81,23 @@ def krippendorff_alpha(votes: DataFrame, level: str = "nominal") -> DataFrame:
     return sums.select((1 - (F.col("n") - 1) * F.try_divide("observed", "expected")).alias("alpha"), F.coalesce("n", F.lit(0.0)).alias("n_pairable"))
 
 
-def dawid_skene(votes: DataFrame, classes: list[str] = CLASSES, max_rounds: int = 45, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+#: Distinct sets of votes that the driver may iterate over; beyond it the rounds are Spark jobs.
+DRIVER_SETS = 100_000
+
+
+def dawid_skene(votes: DataFrame, classes: list[str] = CLASSES, max_rounds: int = 45, tolerance: float = 1e-9, driver_sets: int = DRIVER_SETS) -> tuple[DataFrame, DataFrame]:
     """Class probabilities of items and error rates of raters by expectation maximisation.
 
     Items with the same votes have the same estimate, so the rounds run over the distinct sets
-    of votes with their numbers of items; the driver keeps classes x classes x raters rates only.
+    of votes with their numbers of items: in the driver if these are few, else as Spark jobs.
     Returns ``(item, label, probability, p1..pk)`` and ``(rater, truth, given, rate)``.
     """
     signed = votes.where(F.col("label").isin(classes)).groupBy("item").agg(F.array_sort(F.collect_set(F.struct("rater", "label"))).alias("v"))
     signed = cut_lineage(signed.withColumn("signature", F.sha2(F.to_json("v"), 256)))
-    sets = signed.groupBy("signature").agg(F.first("v").alias("v"), F.count("*").alias("times"))
+    sets = cut_lineage(signed.groupBy("signature").agg(F.first("v").alias("v"), F.count("*").alias("times")))
+    if sets.count() > driver_sets:
+        table, errors = _dawid_skene_jobs(sets, classes, max_rounds, tolerance)
+        return signed.select("item", "signature").join(table, "signature").drop("signature"), errors
     rows = sets.orderBy("signature").collect()
     spark = votes.sparkSession
     people = sorted({x.rater for r in rows for x in r.v})
@@ -135,6 +142,40 @@ def dawid_skene(votes: DataFrame, classes: list[str] = CLASSES, max_rounds: int
     return signed.select("item", "signature").join(table, "signature").drop("signature"), errors
 
 
+def _dawid_skene_jobs(sets: DataFrame, classes: list[str], max_rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The same rounds with rates and probabilities in tables; one number a round reaches the driver."""
+    long = cut_lineage(sets.select("signature", "times", F.explode("v").alias("x")).select("signature", "times", "x.rater", "x.label"))
+    listed = F.explode(F.array(*[F.lit(c) for c in classes]))
+    within = Window.partitionBy("signature")  # a row a class
+    shares = long.groupBy("signature", "times", F.col("label").alias("truth")).agg(F.count("*").alias("k"))
+    every = long.select("signature", "times").distinct().select("signature", "times", listed.alias("truth"))
+    chance = every.join(shares.drop("times"), ["signature", "truth"], "left").withColumn("p", F.coalesce("k", F.lit(0)) / F.sum("k").over(within)).select("signature", "times", "truth", "p")
+    before, rates = -math.inf, None
+    floor = F.lit(1e-300)
+    for _ in range(max_rounds):
+        chance = cut_lineage(chance)
+        prior = chance.groupBy("truth").agg(F.sum(F.col("times") * F.col("p")).alias("m")).withColumn("prior", F.col("m") / F.sum("m").over(Window.partitionBy(F.lit(1)))).select("truth", "prior")  # a row a class
+        mass = long.join(chance.select("signature", "truth", "p"), "signature").groupBy("rater", "truth", "label").agg(F.sum(F.col("times") * F.col("p")).alias("m"))
+        rates = mass.withColumn("rate", F.coalesce(F.try_divide("m", F.sum("m").over(Window.partitionBy("rater", "truth"))), F.lit(0.0))).select("rater", "truth", "label", "rate")
+        rates = cut_lineage(rates)
+        logs = long.join(rates, ["rater", "label"]).groupBy("signature", "times", "truth").agg(F.sum(F.ln(F.greatest("rate", floor))).alias("l"))
+        joint = logs.join(F.broadcast(prior), "truth").withColumn("l", F.col("l") + F.ln(F.greatest("prior", floor)))
+        joint = joint.withColumn("top", F.max("l").over(within)).withColumn("e", F.exp(F.col("l") - F.col("top"))).withColumn("whole", F.sum("e").over(within))
+        joint = cut_lineage(joint)
+        chance = joint.select("signature", "times", "truth", (F.col("e") / F.col("whole")).alias("p"))
+        likelihood = joint.where(F.col("truth") == classes[0]).agg(F.sum(F.col("times") * (F.ln("whole") + F.col("top")))).first()[0]
+        if likelihood is None or abs(likelihood - before) < tolerance:
+            break
+        before = likelihood
+    columns = [F.max(F.when(F.col("truth") == c, F.col("p"))).alias(f"p{k + 1}") for k, c in enumerate(classes)]
+    place = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(classes) for x in (c, -k)]), F.col("truth"))
+    best = F.max_by("truth", F.struct("p", place.alias("k"))).alias("label")
+    table = chance.groupBy("signature").agg(best, F.max("p").alias("probability"), *columns)
+    raters = long.select("rater").distinct().select("rater", listed.alias("truth")).select("rater", "truth", listed.alias("given"))
+    errors = raters.join(rates.withColumnRenamed("label", "given"), ["rater", "truth", "given"], "left").select("rater", "truth", "given", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    return table, errors
+
+
 def expert_disagreement(estimated: DataFrame, experts: DataFrame, columns: list[str]) -> DataFrame:
     """``(item, label, differs)`` of items with an expert's label: whether no expert gave the estimate."""
     joined = estimated.join(experts, "item")
