@@ -90,3 +90,14 @@ def test_sparse_equals_dense():
 
 def test_pairs_of_empty_table(spark):
     assert frequent_pairs(spark.createDataFrame([], "x array<string>"), "x").count() == 0
+
+
+def test_pieces_are_whole_records():
+    import pyarrow as pa
+
+    from textloom.llm.terms import encode, pieces
+
+    column = pa.array([["a"] * 3, None, ["b"] * 9, [], ["c", "d"], ["a"]], pa.list_(pa.string()))
+    parts = list(pieces(column, 4))
+    assert sum(map(len, parts)) == len(column) and [x for p in parts for x in p.to_pylist()] == column.to_pylist() and len(parts) > 1
+    assert [len(encode(p)[1]) for p in parts] == [sum(len(x or []) for x in p.to_pylist()) for p in parts]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .frequency import ngram_frequencies
 from ..session import cut_lineage
-from .terms import encode
+from .terms import encode, pieces
 
 MIN_TOGETHER = 5
 MIN_SHARE = 0.001
@@ -97,8 +97,7 @@ def _gram(record: np.ndarray, item: np.ndarray, width: int) -> Iterator[tuple[np
 
 def _gram_batches(numbers: dict[str, int] | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
+        for column in (p for batch in batches for p in pieces(batch.column(0))):
             if numbers is None:
                 records = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
                 items = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

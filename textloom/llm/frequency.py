@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .terms import encode
+from .terms import encode, pieces
 
 RARE_RECORDS = 2
 COMMON_SHARE = 0.4
@@ -32,8 +32,8 @@ _COUNTED = "ngram array<string>, occurrences bigint, records bigint"
 
 def _suffixes(sigma: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, codes, records = encode(batch.column(0))
+        for piece in (p for batch in batches for p in pieces(batch.column(0))):
+            terms, codes, records = encode(piece)
             n = len(codes)
             valid = codes >= 0
             if not valid.any():

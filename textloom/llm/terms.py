@@ -8,6 +8,7 @@ no terms.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,20 @@ def normal_term(raw: str | None) -> str | None:
     return text if any(map(str.isalpha, text)) else None
 
 
+#: Elements that are worked on at once, unless one record has more.
+PIECE_ELEMENTS = 4_000_000
+
+
+def pieces(column: pa.Array, most: int = PIECE_ELEMENTS) -> Iterator[pa.Array]:
+    """Slices of a list column, of whole records and about ``most`` elements at most."""
+    lengths = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), dtype=float))
+    group = (np.cumsum(lengths) // most).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(column)]])
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        if hi > lo:
+            yield column.slice(int(lo), int(hi - lo))
+
+
 def encode(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct terms of a list column, and for each element its term's number
     (-1: none) and its record's number. Each distinct spelling is normalised once.
