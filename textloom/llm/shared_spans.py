@@ -295,7 +295,7 @@ def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH
     by_key = Window.partitionBy("span_key")
     several = keys.withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key)).where(F.col("lo") < F.col("hi")).drop("lo", "hi")
     # copies that different tasks read count as their class; its own text has the same places
-    several = several.join(classes, "doc").select("span_key", F.col("class").alias("doc"), "start", "size").distinct()
+    several = several.join(classes, "doc").select("span_key", F.col("class").alias("doc"), "start", "size")
     several = cut_lineage(several)
     hot = several.groupBy("span_key").agg(F.count("*").alias("n")).where(F.col("n") > hot_texts).select("span_key")
     usual = several.join(hot, "span_key", "left_anti")
