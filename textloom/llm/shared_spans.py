@@ -300,15 +300,18 @@ def shared_spans(documents: DataFrame, key: str, text: str, length: int = LENGTH
     hot = several.groupBy("span_key").agg(F.count("*").alias("n")).where(F.col("n") > hot_texts).select("span_key")
     usual = several.join(hot, "span_key", "left_anti")
     members = cut_lineage(_sets(usual.select("span_key", "doc")))
-    pairs = _pairs(members)
+    pairs = cut_lineage(_pairs(members))
+    places = several.join(hot, "span_key").select("doc", "start", "size").distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("places"))
+    # the texts move once; what follows sees only those that may share something
+    needed = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).unionByName(places.select("doc")).distinct()
+    wanted = cut_lineage(texts.join(needed, "doc", "left_semi"))
     sided = (
-        pairs.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        .join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+        pairs.join(wanted.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
+        .join(wanted.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         .select("doc_a", "doc_b", "text_a", "text_b")
     )
     spans = sided.mapInArrow(_verify(length), f"doc_a {kind}, doc_b {kind}, start_a int, start_b int, size int")
-    places = several.join(hot, "span_key").select("doc", "start", "size").distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("places"))
-    windows = places.join(texts, "doc").select("doc", "text", "places").mapInArrow(_windows(length), f"span_key binary, doc {kind}, start int")
+    windows = places.join(wanted, "doc").select("doc", "text", "places").mapInArrow(_windows(length), f"span_key binary, doc {kind}, start int")
     windows = cut_lineage(windows.withColumn("lo", F.min("doc").over(by_key)).withColumn("hi", F.max("doc").over(by_key)).where(F.col("lo") < F.col("hi")).drop("lo", "hi"))
     return Shared(cut_lineage(spans), windows, classes, length)
 
