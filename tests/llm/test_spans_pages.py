@@ -77,6 +77,29 @@ def test_shared_parts(spark):
     assert shared_parts(spark.createDataFrame([], "doc long, text string"), "doc", "text").count() == 0
 
 
+@pytest.mark.parametrize("run", ["-" * 250, "label " + "la " * 70])
+def test_long_runs_of_many_texts(spark, run):
+    rnd = random.Random(6)
+    rows = [(k, f"{_words(rnd, 12)} {k} {run}{run[-3:] * (k % 4)} {k} {_words(rnd, 12)}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    texts = {k: normal_text(t) for k, t in rows}
+    want = _brute(texts, 200)
+    assert len(want) == 30 * 29 // 2
+    shared = shared_spans(df, "doc", "text")
+    assert shared.windows.count() > 0
+    assert {tuple(r) for r in sharing_pairs(shared).collect()} == want
+    usual = {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text", 200, 1000).collect()}
+    assert {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text").collect()} == usual
+    spans = span_table(shared).collect()
+    longest = {}
+    for r in spans:
+        assert texts[r.doc_a][r.start_a : r.start_a + r.size] == texts[r.doc_b][r.start_b : r.start_b + r.size]
+        longest[r.doc_a, r.doc_b] = max(r.size, longest.get((r.doc_a, r.doc_b), 0))
+    for (a, b), size in longest.items():
+        assert a or size == max(n for _, _, n in common_spans(texts[a], texts[b], 200))
+    assert {b for a, b in longest if a == 0} == set(range(1, 30))
+
+
 def test_large_class_is_a_star(spark):
     rows = [(k, "copy of a text " * 20) for k in range(30)]
     shared = shared_spans(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")

@@ -10,7 +10,7 @@ that cover enough text are not compressed further, which keeps that margin small
 Neighbouring symbols that together cover ``KEY_CHARS`` characters form a key. Keys in more
 than one text reveal candidates: keys of the same set of texts are merged to one, and every
 pair that is left is verified on whole texts. Keys that many texts have do not become pairs:
-they are refined to fingerprints of the windows of ``length`` characters around them, which
+they are refined to fingerprints of the windows of ``length`` characters around or inside them, which
 are exact by themselves, so a phrase in a third of all texts costs rows in proportion to its
 occurrences.
 
@@ -43,6 +43,8 @@ HOT_TEXTS = 24
 #: classes every member is paired with the class's representative, which stands for it.
 CLASS_PAIRS = 200
 PIECE_CHARS = 2_000_000
+#: Fingerprints of a batch of about this size.
+WINDOW_ROWS = 100_000
 
 _SPREAD = np.random.default_rng(20240229).integers(1, 2**63, LONG_WORD + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -191,22 +193,34 @@ def _digests(length: int):
 
 
 def _windows(length: int):
-    """Fingerprints of the windows of ``length`` characters around a key's places in a text."""
+    """Fingerprints of the windows of ``length`` characters around or inside a key's places in a text.
+
+    A window counts if it has ``KEY_CHARS`` characters of the place: a run that lost its count
+    has one key at every size, so what is whole in one text may be part of a longer place in another.
+    """
+    part = min(KEY_CHARS, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, at, starts = [], [], []
+
+            def piece() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32())], names=["span_key", "doc", "start"])
+
             for row, (value, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 text = normal_text(value)
                 firsts: set[int] = set()
                 for place in places:
-                    lo, hi = place["start"] + place["size"] - length, place["start"]
+                    lo, hi = place["start"] + part - length, place["start"] + place["size"] - part
                     firsts.update(range(max(0, lo), min(hi, len(text) - length) + 1))
                 for k in firsts:
                     keys.append(xxhash.xxh3_128_digest(text[k : k + length].encode("utf-8", "surrogatepass")))
                     starts.append(k)
                 at += [row] * len(firsts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32())], names=["span_key", "doc", "start"])
+                if len(at) > WINDOW_ROWS:
+                    yield piece()
+                    keys, at, starts = [], [], []
+            yield piece()
 
     return run
 
@@ -326,10 +340,22 @@ def span_table(shared: Shared) -> DataFrame:
     """``(doc_a, doc_b, start_a, start_b, size)``: every span of usual pairs; of passages that many
     texts have, the spans of each text with the least of them (in proportion to occurrences)."""
     by_key = Window.partitionBy("span_key")
-    star = shared.windows.withColumn("least", F.min(F.struct("doc", "start")).over(by_key)).where(F.col("doc") != F.col("least.doc"))
-    linked = star.select(F.col("least.doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.col("least.start").alias("a"), F.col("start").alias("b"))
+    # windows of one text that are equal and overlap (a run, a repeated word) meet those of the
+    # least text in order, so that neighbours keep one shift
+    own = Window.partitionBy("span_key", "doc").orderBy("start")
+    apart = F.coalesce(F.col("start") - F.lag("start").over(own) >= shared.length, F.lit(True)).cast("int")
+    turns = shared.windows.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    turns = turns.withColumn("turn", F.row_number().over(Window.partitionBy("span_key", "doc", "cluster").orderBy("start")) - 1)
+    turns = cut_lineage(turns.withColumn("least", F.min("doc").over(by_key)))
+    first = turns.where((F.col("doc") == F.col("least")) & (F.col("cluster") == 1)).select("span_key", F.col("turn").alias("turn_a"), F.col("start").alias("a"))
+    first = first.withColumn("turns", F.count("*").over(by_key))
+    others = turns.where(F.col("doc") != F.col("least")).join(first.select("span_key", "turns").distinct(), "span_key").withColumn("turn_a", F.pmod("turn", F.col("turns").cast("int")))
+    linked = others.select("span_key", "turn_a", "least", "doc", "start").join(first.select("span_key", "turn_a", "a"), ["span_key", "turn_a"])
+    linked = linked.select(F.col("least").alias("doc_a"), F.col("doc").alias("doc_b"), "a", F.col("start").alias("b"))
+    # of one shift, windows that touch are one span
     side = Window.partitionBy("doc_a", "doc_b", F.col("b") - F.col("a")).orderBy("a")
-    islands = linked.withColumn("island", F.col("a") - F.row_number().over(side))
+    gap = F.coalesce(F.col("a") - F.lag("a").over(side) > shared.length, F.lit(True)).cast("int")
+    islands = linked.withColumn("gap", gap).withColumn("island", F.sum("gap").over(side.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("doc_a", "doc_b", (F.col("b") - F.col("a")).alias("shift"), "island").agg(F.min("a").alias("start_a"), F.min("b").alias("start_b"), (F.max("a") - F.min("a") + shared.length).alias("size"))
     return shared.spans.unionByName(merged.select("doc_a", "doc_b", "start_a", "start_b", "size")).distinct()
 
