@@ -164,6 +164,15 @@ def test_byte_pairs_equal_brute_force(spark):
     assert urls.byte_pairs(df.where("w = 'x'"), "w", 3)[1] == []
 
 
+def test_byte_pairs_in_one_task_and_in_rounds(spark):
+    words = ["artikel-2024-1?ref=a", "artikel-2024-12?ref=b", "aaaa", "aaaaa", "thema-7", "thema-77", "ä-2024"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    want, strings = _brute_bpe(words, 12)
+    for most in (0, 1000):
+        state, merges = urls.byte_pairs(df, "w", 12, most)
+        assert merges == want and {tuple(r.symbols): r.n for r in state.collect()} == strings
+
+
 def test_urls(spark):
     df = spark.createDataFrame([("http://a/b/c",), ("http://a/d/",), (None,)], "url string")
     assert {r.part: r.n for r in urls.path_part_counts(df, "url").collect()} == {"http:": 2, "": 2, "a": 2, "b": 1, "d": 1}

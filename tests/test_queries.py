@@ -1,6 +1,7 @@
 import re
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from textloom.plans.catalog import ORACLE, QUERIES
 from textloom.session import table
 
 from .sqlcheck import FOLDER, connection, differences
+from .test_operators import _brute_bpe
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -30,6 +32,17 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, str(FOLDER)).count() > 0
 
 
+@pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
+def test_byte_pairs_of_whole_endings(spark):
+    ends = {r.ending for r in QUERIES["url_endings"](spark, str(FOLDER)).collect() if r.ending}
+    want = Counter()
+    for symbols, n in _brute_bpe(sorted(ends), 1000)[1].items():
+        for symbol in symbols:
+            want[symbol] += n * (len(symbol) >= 5)
+    got = {r.symbol: r.n for r in QUERIES["url_byte_pairs"](spark, str(FOLDER)).collect()}
+    assert got == {k: n for k, n in want.items() if n} and any(c.isdigit() for c in "".join(got))
+
+
 def test_registry():
     assert set(ORACLE) <= set(QUERIES)
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: Strings of together so many characters are merged in one task, more of them in rounds of Spark.
+TASK_CHARS = 2_000_000
+
 
 def path_part_counts(df: DataFrame, url: str) -> DataFrame:
     """``(part, n)`` of the parts of urls between slashes, the last part of each left out."""
@@ -37,14 +45,73 @@ def _merged(symbols: Column, a: str, b: str) -> Column:
     return F.aggregate(symbols, start, step)["out"]
 
 
-def byte_pairs(words: DataFrame, column: str, iterations: int) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+def _merges(iterations: int):
+    """All rounds over the rows ``(symbols, n)`` of one task; only strings with the merged pair are counted anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[list[str]] = []
+        times: list[int] = []
+        for batch in batches:
+            words += batch.column(0).to_pylist()
+            times += batch.column(1).to_pylist()
+        counts: Counter = Counter()
+        holders: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for w, symbols in enumerate(words):
+            for pair in zip(symbols, symbols[1:]):
+                counts[pair] += times[w]
+                holders[pair].add(w)
+        heap = [(-k, *pair) for pair, k in counts.items()]
+        heapq.heapify(heap)
+        merges: list[tuple[str, str, int]] = []
+        while heap and len(merges) < iterations:
+            k, a, b = heapq.heappop(heap)
+            if counts[a, b] != -k or not k:
+                continue
+            merges.append((a, b, -k))
+            changed: set[tuple[str, str]] = set()
+            for w in holders.pop((a, b)):
+                old, new, at = words[w], [], 0
+                while at < len(old):
+                    joins = old[at] == a and at + 1 < len(old) and old[at + 1] == b
+                    new.append(a + b if joins else old[at])
+                    at += 1 + joins
+                for pair in zip(old, old[1:]):
+                    counts[pair] -= times[w]
+                    holders[pair].discard(w)
+                    changed.add(pair)
+                for pair in zip(new, new[1:]):
+                    counts[pair] += times[w]
+                    holders[pair].add(w)
+                    changed.add(pair)
+                words[w] = new
+            for pair in changed:
+                if counts[pair]:
+                    heapq.heappush(heap, (-counts[pair], *pair))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(words + [[a, b] for a, b, _ in merges], pa.list_(pa.string())),
+                pa.array(times + [k for _, _, k in merges], pa.int64()),
+                pa.array([-1] * len(words) + list(range(len(merges))), pa.int32()),
+            ],
+            names=["symbols", "n", "number"],
+        )
+
+    return run
+
+
+def byte_pairs(words: DataFrame, column: str, iterations: int, task_chars: int = TASK_CHARS) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """Byte-pair merges of the strings of a column: ``(symbols, n)`` and the merges in order.
 
     Equal strings are merged once with their number. Each round counts adjacent pairs, takes
     the most frequent (ties: the lesser pair by code point) and merges it from left to right
     without overlap; only that pair reaches the driver. Ends early when no pair is left.
+    Strings of up to ``task_chars`` characters together have all rounds in one task.
     """
     state = cut_lineage(words.where(F.length(column) > 0).groupBy(F.col(column).alias("s")).agg(F.count("*").alias("n")).select(F.filter(F.split("s", ""), lambda c: c != "").alias("symbols"), "n"))
+    if (state.agg(F.sum(F.size("symbols"))).first()[0] or 0) <= task_chars:
+        done = cut_lineage(state.coalesce(1).mapInArrow(_merges(iterations), "symbols array<string>, n bigint, number int"))
+        made = [(*r.symbols, r.n) for r in done.where("number >= 0").orderBy("number").collect()]
+        return done.where("number < 0").select("symbols", "n"), made
     merges: list[tuple[str, str, int]] = []
     for number in range(iterations):
         size = F.size("symbols")

@@ -212,7 +212,7 @@ def url_endings(spark, folder):
 @query()
 def url_byte_pairs(spark, folder):
     ends = urls.url_endings(table(spark, folder, "raw_pages"), "url")
-    return urls.common_byte_pairs(ends.select(F.regexp_replace("ending", "[0-9?].*$", "").alias("ending")), "ending", 25, 2)
+    return urls.common_byte_pairs(ends, "ending", 1000, 5)
 
 
 @query("select page_id, url from raw_pages where regexp_matches(url, '/thema/|[?]ref=')")
