@@ -28,6 +28,8 @@ from .html_blocks import block_key, blocks, sentence_ends
 CONTENT_SHARE = 0.25
 #: Text on at least so many addresses of a site, in one path, is repeated.
 REPEATED_PAGES = 3
+#: What one sentence a block counts; each further one counts 1.
+ONE_SENTENCE = 0.1
 HEADLINE_SHARE = 0.5
 
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
@@ -130,12 +132,14 @@ def content_paths(nodes: DataFrame, content_share: float = CONTENT_SHARE) -> Dat
     unlinked = 1 - F.least(F.lit(1.0), F.try_divide("link_chars", "letters"))
     # text ratio and punctuation ratio of a block of the path, fused
     text_ratio = F.col("single_letters") / F.col("n")
-    end_ratio = F.greatest(F.col("sentences") / F.col("n") - 1, F.lit(0.0))
+    ends = F.col("sentences") / F.col("n")
+    end_ratio = F.greatest(ends - 1, ONE_SENTENCE * F.least(ends, F.lit(1.0)))
     ratio = F.when(F.col("role") == "text", text_ratio * end_ratio * unlinked * F.col("single") / F.col("n")).otherwise(0.0)
     scored = paths.withColumn("ratio", ratio).withColumn("unlinked", unlinked)
-    best = F.max(F.col("ratio") * F.sqrt(F.col("n").cast("double"))).over(Window.partitionBy("site"))
-    scored = scored.withColumn("best", best)
-    content = (F.col("ratio") > 0) & (F.col("ratio") * F.sqrt(F.col("n").cast("double")) >= content_share * F.col("best"))
+    # the best path is one with many blocks; others, of rarer layouts, meet its ratio whatever their number
+    weight = F.struct((F.col("ratio") * F.sqrt(F.col("n").cast("double"))).alias("weight"), "ratio")
+    scored = scored.withColumn("best", F.max(weight).over(Window.partitionBy("site"))["ratio"])
+    content = (F.col("ratio") > 0) & (F.col("ratio") >= content_share * F.col("best"))
     scored = cut_lineage(scored.withColumn("content", content))
     main = scored.where("content")
     # a container holds the content path or is its leaf (text with line breaks straight in it)
