@@ -161,6 +161,49 @@ def test_article_content(spark):
     assert empty.count() == 0
 
 
+def _site(spark, pages):
+    df = spark.createDataFrame([(k, f"/a/{k}", h) for k, h in enumerate(pages)], "page long, url string, html string")
+    texts = spark.createDataFrame([], "page long, text string")
+    got = {}
+    for r in article_content(df, texts, "page", F.lit("s"), F.col("url"), "html", "text").collect():
+        got.setdefault(r.page, set()).add(r.block_key)
+    return got
+
+
+def test_rare_layout_and_rare_headings(spark):
+    rnd = random.Random(8)
+    bodies = [[_words(rnd, 20) + ". " + _words(rnd, 20) + ". Ende." for _ in range(3)] for _ in range(200)]
+    pages = []
+    for k, body in enumerate(bodies):
+        heading = "Fazit" if k in (10, 20, 30) else _words(rnd, 3)
+        tag = "section" if k % 50 == 0 else "div"
+        pages.append(f"<{tag} class='m{tag}'><h2>{heading}</h2>" + "".join(f"<p>{p}</p>" for p in body) + f"<ul><li>Teilen</li></ul></{tag}>")
+    got = _site(spark, pages)
+    for k, body in enumerate(bodies):
+        assert {block_key(p) for p in body} <= got[k]
+    assert all("Fazit" in got[k] for k in (10, 20, 30)) and "Teilen" not in set.union(*(got[k] for k in range(200) if k % 50))
+
+
+def test_addresses_of_one_remainder_count_each(spark):
+    rnd = random.Random(10)
+    by_rest = {}
+    for r in spark.range(200).select("id", F.pmod(F.xxhash64(F.concat(F.lit("/a/"), F.col("id").cast("string"))), F.lit(63)).alias("rest")).collect():
+        by_rest.setdefault(r.rest, []).append(r.id)
+    three = next(ids[:3] for ids in by_rest.values() if len(ids) > 2)
+    full = [k for k in range(200) if k not in three][:30] + three
+    pages = [f"<div class=m><h2>{'Mehr' if k in three else _words(rnd, 3)}</h2><p>{_words(rnd, 20)}. {_words(rnd, 20)}. Ende.</p></div>" if k in full else "" for k in range(200)]
+    got = _site(spark, pages)
+    assert len(got) == 33
+    assert not any("Mehr" in found for found in got.values())
+
+
+def test_one_sentence_paragraphs(spark):
+    rnd = random.Random(9)
+    bodies = [[_words(rnd, 20) + "." for _ in range(3)] for _ in range(20)]
+    got = _site(spark, ["<div class=m>" + "".join(f"<p>{p}</p>" for p in body) + "</div>" for body in bodies])
+    assert got == {k: {block_key(p) for p in body} for k, body in enumerate(bodies)}
+
+
 def test_blocks():
     found = blocks("<table><tr><td>a<td>b<br>c</table><p>x <b>y</b> &auml;<p>z</div></p><li>1<li>2")
     assert [b.text for b in found] == ["a", "b", "c", "x y ä", "z", "1", "2"]

@@ -26,7 +26,8 @@ from .html_blocks import block_key, blocks, sentence_ends
 
 #: A path is content if its fused ratio is at least this share of the site's best.
 CONTENT_SHARE = 0.25
-#: Text on at least so many addresses of a site, in one path, is repeated.
+#: Text on at least this share of the addresses of a path of a site, and on so many, is repeated.
+REPEATED_SHARE = 0.05
 REPEATED_PAGES = 3
 #: What one sentence a block counts; each further one counts 1.
 ONE_SENTENCE = 0.1
@@ -100,27 +101,32 @@ def page_blocks(pages: DataFrame, page: str, site: Column, address: Column, html
     return chosen.mapInArrow(_parse, _NODES.format(page=kind))
 
 
-def _repeated(mask: Column) -> Column:
-    """Addresses are hashed to 63 bits; as many set bits stand for at least as many addresses."""
-    return F.bit_count(mask) >= REPEATED_PAGES
+def _repeated(addresses: Column, path_addresses: Column) -> Column:
+    return addresses >= F.greatest(F.lit(REPEATED_PAGES), REPEATED_SHARE * path_addresses)
 
 
 def content_paths(nodes: DataFrame, content_share: float = CONTENT_SHARE) -> DataFrame:
-    """Content paths of each site: ``(site, container, leaf, role, strict)``.
+    """Content paths of each site: ``(site, container, leaf, role, path_addresses, strict)``.
 
     ``strict`` says that only text not repeated over the site counts (headings, items).
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("address", F.lit(63)).cast("int"))
-    texts = nodes.groupBy("site", "container", "leaf", "role", "text_hash").agg(
+    where = ["site", "container", "leaf", "role"]
+    sized = nodes.select(*where, "address").distinct().groupBy(*where).agg(F.count("*").alias("path_addresses"))
+    by_address = nodes.groupBy(*where, "text_hash", "address").agg(
         F.count("*").alias("n"),
         F.sum("letters").alias("letters"),
         F.sum("sentences").alias("sentences"),
         F.sum("link_chars").alias("link_chars"),
         F.sum(F.col("headline").cast("int")).alias("headlines"),
-        F.bit_or(bit).alias("mask"),
     )
-    single = ~_repeated(F.col("mask"))
-    paths = texts.groupBy("site", "container", "leaf", "role").agg(
+    texts = by_address.groupBy(*where, "text_hash").agg(
+        *(F.sum(c).alias(c) for c in ("n", "letters", "sentences", "link_chars", "headlines")),
+        F.count("*").alias("addresses"),
+    )
+    single = ~_repeated(F.col("addresses"), F.col("path_addresses"))
+    sides = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in where]
+    texts = texts.alias("t").join(sized.alias("p"), sides[0] & sides[1] & sides[2] & sides[3]).select("t.*", "path_addresses")
+    paths = texts.groupBy(*where, "path_addresses").agg(
         F.sum("n").alias("n"),
         F.sum("letters").alias("letters"),
         F.sum("link_chars").alias("link_chars"),
@@ -151,7 +157,7 @@ def content_paths(nodes: DataFrame, content_share: float = CONTENT_SHARE) -> Dat
         .where((headline | heading | (F.col("role") == "item")) & (F.col("unlinked") > 0.5))
         .join(holders, ["site", "container"])
     )
-    chosen = ["site", "container", "leaf", "role"]
+    chosen = [*where, "path_addresses"]
     return main.select(*chosen, F.lit(False).alias("strict")).unionByName(beside.select(*chosen, (~headline).alias("strict")))
 
 
@@ -162,10 +168,10 @@ def article_blocks(nodes: DataFrame, content_share: float = CONTENT_SHARE) -> Da
     kept = nodes.join(paths, where)
     sure = kept.where(~F.col("strict"))
     open_ = kept.where("strict and 2 * link_chars < letters")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("address", F.lit(63)).cast("int"))
-    texts = open_.groupBy(*where, "text_hash").agg(F.bit_or(bit).alias("mask")).where(_repeated(F.col("mask")))
+    texts = open_.select(*where, "path_addresses", "text_hash", "address").distinct().groupBy(*where, "path_addresses", "text_hash").agg(F.count("*").alias("addresses"))
+    texts = texts.where(_repeated(F.col("addresses"), F.col("path_addresses")))
     single = open_.join(texts.select(*where, "text_hash"), [*where, "text_hash"], "left_anti")
-    return sure.unionByName(single.select(*sure.columns)).drop("strict")
+    return sure.unionByName(single.select(*sure.columns)).drop("strict", "path_addresses")
 
 
 def line_blocks(texts: DataFrame, page: str, text: str) -> DataFrame:
