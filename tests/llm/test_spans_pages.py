@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.html_blocks import block_key, blocks
 from textloom.llm.main_content import article_content
-from textloom.llm.shared_spans import _symbols, common_spans, normal_text, recompress, shared_parts, shared_spans, sharing_pairs, span_keys, span_table
+from textloom.llm import shared_spans as shared_spans_module
+from textloom.llm.shared_spans import _symbols, candidates, class_table, normal_text, recompress, shared_parts, sharing_pairs, span_keys, span_table
 
 
 def _words(rnd, n):
@@ -41,24 +43,45 @@ def _documents(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 24), (2, 24), (3, 2)])
-def test_pairs_equal_brute_force(spark, seed, hot):
+def _check_spans(found, texts):
+    """Spans are equal stretches, and every shared window of a text but the least one's lies in one."""
+    seen, told = {}, {}
+    for r in span_table(found).collect():
+        assert r.size >= 200 and texts[r.doc_a][r.start_a : r.start_a + r.size] == texts[r.doc_b][r.start_b : r.start_b + r.size]
+        told.setdefault(r.doc_b, set()).update(range(r.start_b, r.start_b + r.size - 199))
+    classes = {r.doc: r["class"] for r in found.classes.collect()}
+    for k in set(classes.values()):
+        for i in range(len(texts[k]) - 199):
+            seen.setdefault(texts[k][i : i + 200], {}).setdefault(k, []).append(i)
+    want = {}
+    for places in seen.values():
+        for k, at in places.items():
+            if k != min(places):
+                want.setdefault(k, set()).update(at)
+    assert told == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pairs_equal_brute_force(spark, seed):
     rows = _documents(seed)
     df = spark.createDataFrame([(k, t, "a") for k, t in rows], "doc long, text string, span_key string").repartition(3)
-    shared = shared_spans(df, "doc", "text", 200, hot)
-    got = {tuple(r) for r in sharing_pairs(shared).collect()}
+    found = candidates(df, "doc", "text")
+    pairs = [tuple(r) for r in sharing_pairs(found).collect()]
     texts = {k: normal_text(t) for k, t in rows}
     long = {k: t for k, t in texts.items() if len(t) >= 200}
     want = _brute(long, 200)
-    assert got == want and len(want) > 20
-    assert (shared.windows.count() > 0) == (hot == 2)
-    for r in span_table(shared).collect():
-        assert r.size >= 200 and texts[r.doc_a][r.start_a : r.start_a + r.size] == texts[r.doc_b][r.start_b : r.start_b + r.size]
+    assert set(pairs) == want and len(pairs) == len(want) > 20
+    _check_spans(found, texts)
+    of = {k: min(j for j in long if long[j] == t) for k, t in long.items()}
+    linked = {(of[a], of[b]) for a, b in want if of[a] != of[b]}
+    for r in class_table(df, found, "doc").collect():
+        assert r["class"] == of.get(r.doc, r.doc) and r.n_copies == sum(of.get(k) == of.get(r.doc, -1) for k in of) or r.n_copies == 1
+        assert r.n_links == len({x for p in linked if r["class"] in p for x in p} - {r["class"]})
     seen = {}
     for k, t in long.items():
         for i in range(len(t) - 199):
             seen.setdefault(t[i : i + 200], set()).add(k)
-    parts = {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text", 200, hot).collect()}
+    parts = {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text").collect()}
     for k, t in texts.items():
         covered = set()
         for i in range(len(t) - 199):
@@ -70,41 +93,64 @@ def test_pairs_equal_brute_force(spark, seed, hot):
 def test_shared_parts(spark):
     rnd = random.Random(5)
     part = _words(rnd, 60)[:300].strip()
-    rows = [(1, "aaa bbb " + part + " ccc"), (2, part + " " + _words(rnd, 40)), (3, _words(rnd, 80)), (4, "same " * 60), (5, "same \n" * 60), (6, None)]
+    rows = [(1, "aaa bbb " + part + " ccc"), (2, part + " " + _words(rnd, 40)), (3, _words(rnd, 80)), (4, "same " * 60), (5, "same \n" * 60), (6, None)]
     got = {r.doc: (r.n_chars, r.shared_chars) for r in shared_parts(spark.createDataFrame(rows, "doc long, text string"), "doc", "text").collect()}
     assert got[1][1] in (len(part), len(part) + 1, len(part) + 2) and abs(got[2][1] - len(part)) <= 2
     assert got[3][1] == 0 and got[4] == got[5] == (299, 299) and got[6] == (0, 0)
-    assert shared_parts(spark.createDataFrame([], "doc long, text string"), "doc", "text").count() == 0
+    empty = spark.createDataFrame([], "doc long, text string")
+    assert shared_parts(empty, "doc", "text").count() == 0
+    assert sharing_pairs(candidates(empty, "doc", "text")).count() == 0
+    with pytest.raises(ValueError):
+        candidates(empty, "doc", "text", 100)
 
 
-@pytest.mark.parametrize("run", ["-" * 250, "label " + "la " * 70])
+@pytest.mark.parametrize("run", ["-" * 250, "label " + "la " * 70, "Anzeige hier " * 20])
 def test_long_runs_of_many_texts(spark, run):
     rnd = random.Random(6)
-    rows = [(k, f"{_words(rnd, 12)} {k} {run}{run[-3:] * (k % 4)} {k} {_words(rnd, 12)}") for k in range(30)]
+    rows = [(k, f"{_words(rnd, 12)} {k} {run}{run[-13:] * (k % 4)} {k} {_words(rnd, 12)}") for k in range(30)]
     df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
     texts = {k: normal_text(t) for k, t in rows}
     want = _brute(texts, 200)
-    assert len(want) == 30 * 29 // 2
-    shared = shared_spans(df, "doc", "text")
-    assert shared.windows.count() > 0
-    assert {tuple(r) for r in sharing_pairs(shared).collect()} == want
-    usual = {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text", 200, 1000).collect()}
-    assert {r.doc: r.shared_chars for r in shared_parts(df, "doc", "text").collect()} == usual
-    spans = span_table(shared).collect()
-    longest = {}
-    for r in spans:
-        assert texts[r.doc_a][r.start_a : r.start_a + r.size] == texts[r.doc_b][r.start_b : r.start_b + r.size]
-        longest[r.doc_a, r.doc_b] = max(r.size, longest.get((r.doc_a, r.doc_b), 0))
-    for (a, b), size in longest.items():
-        assert a or size == max(n for _, _, n in common_spans(texts[a], texts[b], 200))
-    assert {b for a, b in longest if a == 0} == set(range(1, 30))
-
-
-def test_large_class_is_a_star(spark):
-    rows = [(k, "copy of a text " * 20) for k in range(30)]
-    shared = shared_spans(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")
-    assert sharing_pairs(shared).count() == 30 * 29 // 2
-    assert {tuple(r) for r in sharing_pairs(shared, class_pairs=10).collect()} == {(0, k) for k in range(1, 30)}
+    assert len(want) > 200
+    found = candidates(df, "doc", "text")
+    assert {tuple(r) for r in sharing_pairs(found).collect()} == want
+    _check_spans(found, texts)
+
+
+def test_copies_and_hot_passages_do_not_depend_on_partitions(spark):
+    rnd = random.Random(12)
+    passage = _words(rnd, 50)
+    rows = [(k, "copy " + passage + " of one") for k in range(40)] + [(50, _words(rnd, 9) + " " + passage), (51, passage + " " + _words(rnd, 9))]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    want = {(a, b) for a in range(40) for b in [*range(a + 1, 40), 50, 51]} | {(50, 51)}
+    for n in (1, 42):
+        found = candidates(df.repartition(n), "doc", "text")
+        assert {tuple(r) for r in sharing_pairs(found).collect()} == want
+        assert {(r.doc_a, r.doc_b) for r in span_table(found).collect()} == {(0, 50), (0, 51)}
+        assert {(r["class"], r.n_copies, r.n_links) for r in class_table(df, found, "doc").collect()} == {(0, 40, 2), (50, 1, 2), (51, 1, 2)}
+
+
+def test_many_copies_and_another_text(spark):
+    rnd = random.Random(13)
+    passage = _words(rnd, 50)
+    df = spark.createDataFrame([(k, passage + " copy") for k in range(205)] + [(300, "own " + passage)], "doc long, text string").repartition(5)
+    assert sharing_pairs(candidates(df, "doc", "text")).count() == 206 * 205 // 2
+
+
+def test_pairs_of_large_groups_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans_module, "PAIRED_TEXTS", 7)
+    members = spark.createDataFrame([(k % 3, k) for k in range(90)], "g int, doc long")
+    got = shared_spans_module._pairs(members, ["g"]).collect()
+    assert len(got) == len(set(got)) == 3 * 30 * 29 // 2
+
+
+def test_long_periodic_texts_end_soon(spark):
+    rows = [(1, "a b c d e f g h " * 65_000), (2, "x " + "a b c d e f g h " * 64_000), (3, "-" * 1_000_000), (4, "." + "-" * 900_000)]
+    began = time.time()
+    found = candidates(spark.createDataFrame(rows, "doc long, text string"), "doc", "text")
+    assert {tuple(r) for r in sharing_pairs(found).collect()} == {(1, 2), (3, 4)}
+    assert {(r.doc_a, r.doc_b, r.size) for r in span_table(found).collect()} >= {(3, 4, 900_000)}
+    assert time.time() - began < 90
 
 
 def test_equal_substrings_get_equal_symbols():
@@ -116,12 +162,7 @@ def test_equal_substrings_get_equal_symbols():
         symbols, starts, sizes = recompress(*_symbols(text))
         assert starts[0] == 0 and sizes.sum() == len(text) and (np.diff(starts) == sizes[:-1]).all()
         found.append(set(span_keys(text)[0].tolist()))
-    assert len(found[0] & found[1]) >= 5
-
-
-def test_common_spans():
-    assert common_spans("abcdefgh" * 3, "xxabcdefgh", 8) and common_spans("abc", "abd", 3) == []
-    assert (0, 2, 6) in common_spans("abcdef", "xyabcdef", 6)
+    assert len(found[0] & found[1]) >= 4
 
 
 PAGE = """<!DOCTYPE html><html><head><title>{title} | Blatt</title><style>p {{}}</style></head><body><!-- x --><div class="nav"><a href=1>Start</a> | <a href=2>Sport</a></div>

@@ -159,13 +159,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_content.article_content(pages, texts, "page_id", site, address, "html_content", "text")
 
 
+def _sharing(spark: SparkSession, folder: str) -> shared_spans.Candidates:
+    return shared_spans.candidates(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = shared_spans.sharing_pairs(shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text"))
+    pairs = shared_spans.sharing_pairs(_sharing(spark, folder))
     return pairs.select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.class_table(table(spark, folder, "documents"), _sharing(spark, folder), "doc_id")
+
+
 def p10_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return shared_spans.span_table(shared_spans.shared_spans(table(spark, folder, "documents"), "doc_id", "text"))
+    return shared_spans.span_table(_sharing(spark, folder))
 
 
 def p10_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,6 +182,7 @@ def p10_shared_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p10_found": p10_found,
+    "p10_classes": p10_classes,
     "p10_spans": p10_spans,
     "p10_shared_parts": p10_shared_parts,
     "p3_found": p3_found,

@@ -74,7 +74,39 @@ normal as (
 )
 """
 
+# the same windows of one text a class of copies, with the least class that has them
+_CLASS_WINDOWS = rf"""
+normal as (
+  select doc_id, trim(regexp_replace(text, '[{_WS}]+', ' ', 'g')) as t from documents
+), classes as (
+  select min(doc_id) as doc, t from normal where length(t) >= 200 group by t
+), windows as (
+  select doc, i - 1 as i, hash(substr(t, i, 200)) as h from classes, unnest(range(1, length(t) - 198)) as u(i)
+), several as (
+  select h, min(doc) as least from windows group by h having min(doc) <> max(doc)
+), shared as (
+  select w.doc, w.i, w.h, s.least from windows w join several s using (h)
+)
+"""
+
 ORACLE = {
+    "p10_classes": f"""with {_CLASS_WINDOWS}, members as (select doc_id, coalesce(doc, doc_id) as class from normal left join classes using (t)),
+        linked as (select a.doc, count(distinct b.doc) as n from (select distinct doc, h from shared) a join (select distinct doc, h from shared) b on a.h = b.h and a.doc <> b.doc group by a.doc)
+        select doc_id, class, count(*) over (partition by class) as n_copies, coalesce(n, 0) as n_links from members left join linked on doc = class""",
+    # equal windows of one text that overlap are numbered, and meet those of the least class by number
+    "p10_spans": f"""with {_CLASS_WINDOWS}, gaps as (
+          select *, coalesce(i - lag(i) over (partition by h, doc order by i) >= 200, true)::int as apart from shared
+        ), clusters as (
+          select *, sum(apart) over (partition by h, doc order by i rows unbounded preceding) as cluster from gaps
+        ), turns as (
+          select *, row_number() over (partition by h, doc, cluster order by i) - 1 as turn from clusters
+        ), firsts as (
+          select h, turn, i as a, count(*) over (partition by h) as many from turns where doc = least and cluster = 1
+        ), linked as (
+          select t.least as doc_a, t.doc as doc_b, f.a, t.i as b from turns t join firsts f on t.h = f.h and t.turn % f.many = f.turn where t.doc <> t.least
+        ), islands as (
+          select *, a - row_number() over (partition by doc_a, doc_b, b - a order by a) as island from linked
+        ) select doc_a, doc_b, min(a)::int as start_a, min(b)::int as start_b, (max(a) - min(a) + 200)::int as size from islands group by doc_a, doc_b, b - a, island""",
     "p10_found": f"""with {_WINDOWS} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from (select distinct doc_id, h from shared) a
         join (select distinct doc_id, h from shared) b on a.h = b.h and a.doc_id < b.doc_id""",
     "p10_shared_parts": f"""with {_WINDOWS}, steps as (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) as n from shared),
