@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def local_session(app: str = "textloom", cores: str = "*", **conf: str) -> SparkSession:
@@ -25,19 +30,60 @@ def local_session(app: str = "textloom", cores: str = "*", **conf: str) -> Spark
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the checkpoint folder of the session and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``, which executors share.
-    Only where neither the context nor the setting names one (single-machine tests)
-    a temporary folder is set.
+    Only a local session without the setting gets a temporary folder of its own, which is
+    removed when Python ends; on a cluster the missing setting is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+_written: dict[str, list[str]] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder of the session and read it from there.
+
+    The table is compressed, columns that a reader leaves out are not read, and its size is
+    known to the plans that read it. ``release`` removes what a session has written; it runs
+    when Python ends, too.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
-    return df.checkpoint(eager=eager)
+    written = _written.get(sc.applicationId)
+    if written is None:
+        written = _written[sc.applicationId] = []
+        atexit.register(release, spark)
+    path = f"{shared_folder(spark).rstrip('/')}/textloom-{sc.applicationId}/{uuid.uuid4().hex}"
+    written.append(path)
+    names = [f"c{k}" for k in range(len(df.columns))]
+    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, df.schema)])
+    df.toDF(*names).write.parquet(path)
+    return spark.read.schema(schema).parquet(path).toDF(*df.columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``cut_lineage`` wrote; results not yet read are lost."""
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written.pop(spark.sparkContext.applicationId, []):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+    except Exception as error:  # the session may be gone already
+        logging.getLogger(__name__).warning("written tables were not removed: %s", error)
 
 
 def latest_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
