@@ -154,16 +154,17 @@ def span_keys(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     key = symbols[at]
     width = last[at] - at
+    more = np.arange(len(at))
     for k in range(1, int(width.max()) + 1):
-        more = np.flatnonzero(width >= k)
+        more = more[width[more] >= k]
         key[more] = _pair(key[more], symbols[at[more] + k])
     start, size, text_no = before[at], ends[last[at]] - before[at], barriers[at]
     # of the keys that begin within CHOICE_CHARS from each on, the last of the least
     reach = np.minimum(np.searchsorted(start, start + CHOICE_CHARS, "left"), np.searchsorted(text_no, text_no, "right"))
     count = reach - np.arange(len(at))
-    least, best = key.copy(), np.arange(len(at))
+    least, best, more = key.copy(), np.arange(len(at)), np.arange(len(at))
     for k in range(1, int(count.max())):
-        more = np.flatnonzero(count > k)
+        more = more[count[more] > k]
         other = key[more + k]
         better = other <= least[more]
         least[more[better]] = other[better]
@@ -182,47 +183,43 @@ def _digest(text: str) -> bytes:
 
 
 def _keys(length: int):
+    """``(span_key, rest, doc)``: chosen keys, and the two halves of the digest of each text (``rest`` not null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["span_key", "rest", "doc"]
+
         def piece(texts: list[str], docs: list) -> pa.RecordBatch:
             key, start, _ = span_keys("\n".join(texts))
             offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
             which = np.searchsorted(offsets, start, "right") - 1
             once = _first_places(key, which)
-            return pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.array(docs).take(pa.array(which[once]))], names=["span_key", "doc"])
+            return pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64)), pa.nulls(len(once), pa.int64()), docs.take(pa.array(which[once]))], names=names)
 
         for batch in batches:
-            texts, docs, filled = [], [], 0
+            of = batch.column(0)
+            texts, rows, filled = [], [], 0
+            every, digests = [], []
             seen: set[bytes] = set()
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, value in enumerate(batch.column(1)):
                 text = normal_text(value.as_py())
                 if len(text) < length:
                     continue
                 digest = _digest(text)
+                every.append(row)
+                digests.append(digest)
                 if digest in seen:  # a copy within the batch: its class is known by its digest
                     continue
                 seen.add(digest)
                 texts.append(text)
-                docs.append(doc)
+                rows.append(row)
                 filled += len(text)
                 if filled > PIECE_CHARS:
-                    yield piece(texts, docs)
-                    texts, docs, filled = [], [], 0
+                    yield piece(texts, of.take(pa.array(rows, pa.int64())))
+                    texts, rows, filled = [], [], 0
             if texts:
-                yield piece(texts, docs)
-
-    return run
-
-
-def _digests(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, made = [], []
-            for k, value in enumerate(batch.column(1)):
-                text = normal_text(value.as_py())
-                if len(text) >= length:
-                    at.append(k)
-                    made.append(_digest(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(made, pa.binary())], names=["doc", "digest"])
+                yield piece(texts, of.take(pa.array(rows, pa.int64())))
+            halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), of.take(pa.array(every, pa.int64()))], names=names)
 
     return run
 
@@ -370,14 +367,6 @@ def _normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc", "text", "keys"])
 
 
-def text_classes(documents: DataFrame, key: str, text: str, length: int = LENGTH) -> DataFrame:
-    """``(doc, class)`` of texts of at least ``length`` characters; copies share a class, its least key."""
-    kind = documents.schema[key].dataType.simpleString()
-    digests = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_digests(length), f"doc {kind}, digest binary")
-    classes = digests.groupBy("digest").agg(F.min("doc").alias("class"))
-    return digests.join(classes, "digest").select("doc", "class")
-
-
 _PRINT = ["print_a", "print_b"]
 _SET = ["n", "sign", "twist"]
 
@@ -425,8 +414,11 @@ def candidates(documents: DataFrame, key: str, text: str, length: int = LENGTH)
         raise ValueError(f"length must be at least {LENGTH}")
     kind = documents.schema[key].dataType.simpleString()
     texts = documents.where(F.col(key).isNotNull() & (F.length(text) >= length)).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    classes = cut_lineage(text_classes(texts, "doc", "text", length))
-    keys = texts.mapInArrow(_keys(length), f"span_key bigint, doc {kind}")
+    named = cut_lineage(texts.mapInArrow(_keys(length), f"span_key bigint, rest bigint, doc {kind}"))
+    digests = named.where(F.col("rest").isNotNull())
+    least = digests.groupBy("span_key", "rest").agg(F.min("doc").alias("class"))
+    classes = cut_lineage(digests.join(least, ["span_key", "rest"]).select("doc", "class"))
+    keys = named.where(F.col("rest").isNull()).select("span_key", "doc")
     # partial minima and maxima, so that a key of very many texts is a row a task
     shared = keys.groupBy("span_key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(F.col("lo") < F.col("hi")).select("span_key")
     several = keys.join(shared, "span_key").join(classes, "doc")
