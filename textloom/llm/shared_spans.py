@@ -46,11 +46,11 @@ RUN_CHARS = 16
 #: Characters that the symbols of a key cover at least.
 KEY_CHARS = 48
 #: One of the keys that begin within so many characters is chosen.
-CHOICE_CHARS = 64
+CHOICE_CHARS = 80
 LONG_WORD = 24
 ROUNDS = 6
 #: Distance of the windows around a key.
-STEP = 32
+STEP = 40
 #: Texts of a piece that is worked on at once, in characters; a longer text is one piece.
 PIECE_CHARS = 2_000_000
 #: Members of a set that one task pairs with all others of the set.
@@ -421,6 +421,8 @@ def candidates(documents: DataFrame, key: str, text: str, length: int = LENGTH)
     keys = named.where(F.col("rest").isNull()).select("span_key", "doc")
     # partial minima and maxima, so that a key of very many texts is a row a task
     shared = keys.groupBy("span_key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(F.col("lo") < F.col("hi")).select("span_key")
+    # written first, so that the planner knows its size before it moves the keys
+    shared = cut_lineage(shared)
     several = keys.join(shared, "span_key").join(classes, "doc")
     wanted = several.groupBy(F.col("class").alias("doc")).agg(F.collect_set("span_key").alias("keys"))
     found = texts.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(_normal_texts, f"doc {kind}, text string, keys array<bigint>")
