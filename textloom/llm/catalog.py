@@ -121,12 +121,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    found = repeated_lines.frequent_sequences(cut_lineage(_site_texts(spark, folder)), "id", "site", "text_deduped", unique=True)
+    found = repeated_lines.frequent_sequences(_site_texts(spark, folder), "id", "site", "text_deduped", unique=True)
     return found.withColumn("lines", F.array_join("lines", "\n"))
 
 
 def p6_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = repeated_lines.without_repeated(cut_lineage(_site_texts(spark, folder)), "id", "site", "text_deduped")
+    cleaned = repeated_lines.without_repeated(_site_texts(spark, folder), "id", "site", "text_deduped")
     return cleaned.select("id", "text_clean", "n_removed")
 
 

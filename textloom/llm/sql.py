@@ -122,7 +122,7 @@ ORACLE = {
           select id, site, list(line order by r) as lines from runs group by id, site, run
         ), parts as (
           select distinct id, site, array_to_string(lines[i:i + n - 1], chr(10)) as lines, n::int as n_lines
-          from texts, unnest(range(1, 6)) as v(n), unnest(range(1, len(lines) - n + 2)) as u(i)
+          from texts, unnest(range(1, len(lines) + 1)) as v(n), unnest(range(1, len(lines) - n + 2)) as u(i)
         ) select site, lines, n_lines, count(*) as n_documents from parts group by site, lines, n_lines having count(*) >= 5""",
     "p6_cleaned": f"""with {_KEYED}, marked as (select k.*, s.line is not null as gone from keyed k left join single s on k.site = s.site and k.line = s.line),
         made as (select id, coalesce(string_agg(raw, chr(10) order by pos) filter (where not gone), '') as clean, count(*) filter (where gone) as n from marked where site is not null group by id)
