@@ -6,6 +6,7 @@ import regex
 
 from textloom.llm.mixing import mix, rake
 from textloom.llm.packing import container_contents, pack, shortest_pack_first
+from textloom.llm.topics import fit_topics, with_topics
 from textloom.llm.tokens import n_tokens
 
 GPT2 = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -66,10 +67,12 @@ def test_pack_places_each_part_once(spark):
 
 def test_rake_meets_margins():
     tokens = {("a", "x", "1"): 100, ("a", "y", "1"): 300, ("b", "x", "1"): 400, ("b", "y", "1"): 200}
-    weight = rake(tokens, {"a": 500, "b": 300}, {"a": 3, "b": 2}, {1: {"x": 0.5, "y": 0.5}})
+    weight, lack = rake(tokens, {"a": 500, "b": 300}, {"a": 3, "b": 2}, {1: {"x": 0.5, "y": 0.5}})
     assert abs(weight["a", "x", "1"] + weight["a", "y", "1"] - 500) < 1e-3
     assert abs(weight["a", "x", "1"] + weight["b", "x", "1"] - 400) < 1
-    short = rake(tokens, {"a": 5000, "b": 300}, {"a": 2, "b": 2}, {})
+    assert lack == {"a": 0, "b": 0}
+    short, lack = rake(tokens, {"a": 5000, "b": 300, "none": 7}, {"a": 2, "b": 2, "none": 1}, {})
+    assert lack == {"a": 4200, "b": 0, "none": 7}
     assert short["a", "x", "1"] == 200 and short["a", "y", "1"] == 600
 
 
@@ -96,3 +99,15 @@ def test_mix(spark):
     empty, nothing = mix(df.limit(0), targets, "id", "src", "n")
     assert empty.count() == 0 and nothing.count() == 3
     assert all(r.actual_share is None for r in nothing.collect())
+
+
+def test_topics(spark):
+    rnd = random.Random(2)
+    words = {k: [f"{stem}{x}" for x in "abcdefghijklmnopqrst"] for k, stem in enumerate(("wetter", "sport", "technik"))}
+    rows = [(k, " ".join(rnd.choice(words[k % 3]) for _ in range(40))) for k in range(90)] + [(100, None), (101, ""), (102, "zzzz")]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    model = fit_topics(df, "doc", "text", 3)
+    got = {r.doc: r.topic for r in with_topics(df.repartition(3), "text", model).collect()}
+    assert len({got[k] for k in range(3)}) == 3 and all(got[k] == got[k % 3] for k in range(90))
+    assert got[100] == got[101] == got[102] == -1
+    assert with_topics(df, "text", fit_topics(df.limit(0), "doc", "text")).where("topic >= 0").count() == 0

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, latest_rows, table
-from . import consensus, cooccurrence, frequency, language_id, main_content, mixing, packing, repeated_lines, shared_spans, structure
-from .languages import label_language
+from . import consensus, cooccurrence, frequency, language_id, main_content, mixing, packing, repeated_lines, shared_spans, structure, topics
 from .sql import ORACLE
-from .tokens import PATTERN, n_tokens
+from .tokens import n_tokens
 
 VOTERS = ["expert_annotator_1", "expert_annotator_2", "student_annotator_1", "student_annotator_2"]
 
@@ -81,21 +80,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_contents(packing.pack(_sized(spark, folder), "doc_id", "n_tokens"))
 
 
-def core_pattern(spark: SparkSession, folder: str) -> str:
-    """Pattern that finds a term of the wordlist in a lower-cased text."""
-    terms = [r.term for r in table(spark, folder, "wordlist").orderBy("ord").select("term").collect()]
-    return "|".join(r"\p{L}*\s+".join(rf"\Q{w.lower()}\E" for w in term) for term in terms)
-
-
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, folder, "documents").select(
-        "doc_id",
-        "source",
-        n_tokens(F.col("text")).alias("n_tokens"),
-        label_language(F.col("lang")).alias("language"),
-        F.when(F.lower("text").rlike(core_pattern(spark, folder)), F.lit("core")).otherwise(F.lit("other")).alias("topic"),
-    )
-    return mixing.mix(cut_lineage(documents), table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens", "language", "topic")
+    documents = table(spark, folder, "documents")
+    rows = documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), "text")
+    named = topics.with_topics(rows, "text", topics.fit_topics(documents, "doc_id", "text"))
+    found = language_id.identify_languages(named, "doc_id", "text", _dictionaries(spark, folder), carry=("source", "n_tokens", "topic"))
+    main = found.where(F.col("seg_no") == -1).select("doc_id", "source", "n_tokens", F.col("lang").alias("language"), "topic")
+    return mixing.mix(cut_lineage(main), table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens", "language", "topic")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

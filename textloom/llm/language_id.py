@@ -62,19 +62,30 @@ def fit_dictionaries(
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
     chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= sample_documents).select("key", "lang")
     # at most sample_documents rows a language
-    sample = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").orderBy("lang", F.xxhash64("key"), "key")
+    sample = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    # executors judge the paragraphs; of a document no more than a share of a dictionary reaches the driver
+    fair = max(1, dictionary_bytes // 20)
+
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = []
+            for lang, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kept: list[str] = []
+                for paragraph in paragraphs(value or ""):
+                    found = _WORD.findall(paragraph.lower())
+                    counts = {code: sum(w in known for w in found) for code, known in words.items()}
+                    if len(found) >= 5 and counts[lang] == max(counts.values()) and counts[lang] >= SAMPLE_SHARE * len(found):
+                        kept += found
+                contents.append(" ".join(kept).encode()[:fair])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(contents, pa.binary())], names=["h", "lang", "content"])
+
+    made = sample.select(F.xxhash64("key").alias("h"), "lang", "text").mapInArrow(accepted, "h bigint, lang string, content binary")
     parts: dict[str, list[bytes]] = {code: [] for code in LANGUAGES}
     sizes = dict.fromkeys(LANGUAGES, 0)
-    for row in sample.select("lang", "text").toLocalIterator():
-        if row.text is None or sizes[row.lang] >= dictionary_bytes:
-            continue
-        for paragraph in paragraphs(row.text):
-            found = _WORD.findall(paragraph.lower())
-            counts = {code: sum(w in known for w in found) for code, known in words.items()}
-            if len(found) >= 5 and counts[row.lang] == max(counts.values()) and counts[row.lang] >= SAMPLE_SHARE * len(found):
-                content = " ".join(found).encode()
-                parts[row.lang].append(content)
-                sizes[row.lang] += len(content)
+    for row in sorted(made.where(F.length("content") > 0).collect()):
+        if sizes[row.lang] < dictionary_bytes:
+            parts[row.lang].append(bytes(row.content))
+            sizes[row.lang] += len(row.content)
     return {code: b" ".join([*parts[code], " ".join(sorted(words[code])).encode()])[-dictionary_bytes:] for code in LANGUAGES}
 
 
