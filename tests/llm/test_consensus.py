@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from textloom.llm.consensus import annotator_weight, chi2_lower, truth_discovery
+from textloom.llm.consensus import bound_weight, chi2_lower, log_odds_weight, truth_discovery
 
 
 def _planted(seed=3, n=400):
@@ -25,28 +25,33 @@ def test_chi2_quantile_matches_tables():
 
 
 def test_few_votes_get_less_weight():
-    assert annotator_weight(5, 0, 3) < annotator_weight(500, 0, 3)
-    assert annotator_weight(500, 100, 3) < annotator_weight(500, 10, 3)
+    for weight in (bound_weight, lambda n, d: log_odds_weight(n, d, 3)):
+        assert weight(5, 0) < weight(500, 0)
+        assert weight(500, 100) < weight(500, 10)
 
 
-def test_recovers_planted_truth_and_skills(spark):
+@pytest.mark.parametrize("weights", ["bound", "log_odds"])
+def test_recovers_planted_truth_and_skills(spark, weights):
     truth, votes = _planted()
     df = spark.createDataFrame(votes, "item string, annotator string, label string")
-    agreed, people = truth_discovery(df)
+    agreed, people = truth_discovery(df, weights=weights)
     rows = agreed.collect()
     assert sum(truth[r["item"]] == r.label for r in rows) / len(rows) > 0.93
     by = {r.annotator: r.reliability for r in people.collect()}
     assert by["a"] > by["c"] > by["d"]
+    w = {r.annotator: r.weight for r in people.collect()}
+    assert w["a"] > w["c"] > w["d"] and w["b"] > 0.2 * w["a"]  # nobody dictates
 
 
+@pytest.mark.parametrize("weights", ["bound", "log_odds"])
 @pytest.mark.parametrize("ordered", [False, True])
-def test_jobs_equal_driver(spark, ordered):
+def test_jobs_equal_driver(spark, ordered, weights):
     _, votes = _planted(5, 60)
     df = spark.createDataFrame(votes, "item string, annotator string, label string")
-    a, pa = truth_discovery(df, rounds=6, ordered=ordered)
-    b, pb = truth_discovery(df, driver_votes=0, rounds=6, ordered=ordered, item_votes=3)
-    assert {(r["item"], r.label, r.n_votes, round(r.agreement, 9)) for r in a.collect()} == {(r["item"], r.label, r.n_votes, round(r.agreement, 9)) for r in b.collect()}
-    x, y = ({r.annotator: (r.n_votes, round(r.reliability, 6), round(r.weight, 2)) for r in p.collect()} for p in (pa, pb))
+    a, pa = truth_discovery(df, rounds=4, ordered=ordered, weights=weights)
+    b, pb = truth_discovery(df, driver_cells=-1, rounds=4, ordered=ordered, weights=weights, item_votes=3)
+    assert {(r["item"], r.label, r.n_votes, round(r.agreement, 9), round(r.confidence, 6)) for r in a.collect()} == {(r["item"], r.label, r.n_votes, round(r.agreement, 9), round(r.confidence, 6)) for r in b.collect()}
+    x, y = ({r.annotator: (r.n_votes, round(r.reliability, 6), round(r.weight, 4)) for r in p.collect()} for p in (pa, pb))
     assert x == y
 
 
@@ -62,7 +67,7 @@ def test_errors_to_one_side(spark):
     df = spark.createDataFrame(votes, "item string, annotator string, label string")
     right = {}
     for ordered in (False, True):
-        agreed, _ = truth_discovery(df, ordered=ordered)
+        agreed, _ = truth_discovery(df, ordered=ordered, weights="log_odds")
         right[ordered] = sum(str(truth[r["item"]]) == r.label for r in agreed.collect()) / len(truth)
     assert right[True] > 0.93 and right[True] >= right[False] - 0.002
 
@@ -77,3 +82,14 @@ def test_nulls_repeats_and_empty(spark):
     assert {p.annotator for p in people.collect()} == {"a", "c", "d"}
     agreed, people = truth_discovery(spark.createDataFrame([], schema))
     assert agreed.count() == 0 and people.count() == 0
+
+
+def test_many_labels(spark):
+    rows = [(f"i{k}", a, f"l{k}") for k in range(1200) for a in "abc"]
+    df = spark.createDataFrame(rows, "item string, annotator string, label string")
+    assert truth_discovery(df)[0].where("label = concat('l', substr(item, 2))").count() == 1200
+    for options in ({"ordered": True}, {"weights": "log_odds"}):
+        with pytest.raises(ValueError):
+            truth_discovery(df, **options)
+    with pytest.raises(ValueError):
+        truth_discovery(df, weights="none")

@@ -52,18 +52,31 @@ def _votes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows, long.select(F.col("id").alias("item"), "v.annotator", "v.label").where(F.col("label").isNotNull())
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def _agreed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Latest ratings, consensus and annotators; these annotators err to one side, which ``log_odds`` allows for."""
     rows, votes = _votes(spark, folder)
-    agreed, _ = consensus.truth_discovery(votes, ordered=True)
+    return rows, *consensus.truth_discovery(votes, ordered=True, weights="log_odds")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows, agreed, _ = _agreed(spark, folder)
     both = agreed.where(F.col("n_votes") >= 3).join(rows.select(F.col("id").alias("item"), "gold"), "item")
     return both.where(~F.col("gold").eqNullSafe(F.col("label"))).select(F.col("item").alias("id"), "label")
 
 
 def p4_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[0].withColumnRenamed("item", "id")
+    return _agreed(spark, folder)[1].withColumnRenamed("item", "id")
 
 
 def p4_annotators(spark: SparkSession, folder: str) -> DataFrame:
+    return _agreed(spark, folder)[2]
+
+
+def p4_bound_consensus(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[0].withColumnRenamed("item", "id")
+
+
+def p4_bound_annotators(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[1]
 
 
@@ -194,6 +207,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_consensus": p4_consensus,
     "p4_annotators": p4_annotators,
+    "p4_bound_consensus": p4_bound_consensus,
+    "p4_bound_annotators": p4_bound_annotators,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
 }
