@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import markup
 from textloom.functions import words as fw
-from textloom.operators import annotation, deduplication, evaluation, filters, rating, relevance, retrieval, urls, wordlists
+from textloom.operators import annotation, cooccurrence, deduplication, evaluation, filters, rating, relevance, retrieval, urls, wordlists
 from textloom.operators.cleaning import SiteProfile, clean_pages, read_profile
 
 
@@ -375,3 +375,86 @@ def test_neighbours_across_partitions(spark):
             mine = [r for r in rows if group is None or r[2] == g]
             at = [r[0] for r in mine].index(k)
             assert got[k] == (mine[at - 1][1] if at else None, mine[at + 1][1] if at + 1 < len(mine) else None)
+
+
+def test_main_text_of_the_test_pages():
+    """The main text against the articles' own markup, over all pages and layouts (tables and ``div`` too)."""
+    import html
+    import re
+    from pathlib import Path
+
+    import duckdb
+
+    from textloom.functions.markup import main_elements
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    rows = duckdb.sql(f"select distinct on (page_id) html_content, text_html from '{folder}/raw_pages.parquet' join '{folder}/articles.parquet' using (page_id) where text_html is not null").fetchall()
+    key = lambda x: "".join(re.findall(r"[^\W_]+", html.unescape(x)))[:48]
+    wanted = found = more = 0
+    for page, text in rows:
+        truth = {key(x) for x in re.split("<[^>]*>", text)} - {""}
+        got = {key(x) for _, x in main_elements(page)}
+        assert got, "a page with an article has main text"
+        wanted, found, more = wanted + len(truth), found + len(truth & got), more + len(got - truth)
+    assert found >= 0.98 * wanted and more <= 0.05 * wanted
+
+
+def test_main_text_of_layouts():
+    from textloom.functions.markup import main_elements
+
+    one, two = "Ein Satz steht hier, lang genug für Text. Noch einer.", "Der zweite Absatz steht in der Zelle. Er endet hier."
+    table = f"<title>T | X</title><table><tr><td><a href=1>Start</a></td><td><div>T | X</div><div>Von Max</div><p>{one}</p><table><tr><td>1</td><td>2</td></tr></table><p>{two}</p></td></tr></table>"
+    assert main_elements(table) == [("h1", "T | X"), ("p", one), ("p", two)]
+    divs = f"<div><h2>T</h2><div>Von Max</div><ul><li>Teilen</li></ul><div class=a>{one}</div><div class=a>{two}</div><div>Ende</div></div>"
+    assert main_elements(divs) == [("h2", "T"), ("p", one), ("p", two)]
+    breaks = f"<div>{one}<br><br>{two}<br></div>"
+    assert main_elements(breaks) == [("p", one), ("p", two)]
+
+
+def test_dates_beside_metadata(spark):
+    assert value(spark, markup.page_date(F.lit('<script>{"datePublished": "2023-02-05T10:00"}</script>'))).isoformat() == "2023-02-05"
+    assert value(spark, markup.page_date(F.lit("<p>Stand: 7. März 2021, 12 Uhr</p>"))).isoformat() == "2021-03-07"
+    assert value(spark, markup.page_date(F.lit("<p>am 3.2.2024</p>"))).isoformat() == "2024-02-03"
+    assert value(spark, markup.page_date(F.lit("<p>am 33.2.2024</p>"))) is None
+    assert value(spark, markup.update_in_february(F.lit('<span id="last_update">am 3.2.2024 geprüft, neu</span>'))) is True
+    assert value(spark, markup.update_in_february(F.lit('<meta name="date" content="2024-02-05"><span id="last_update">29. Februar 2024</span>'))) is False
+
+
+def test_records_of_a_chat_service(spark):
+    import json
+
+    prompt = annotation.Prompt("Judge.", "Text:", "Answer")
+    assert (prompt.begin, prompt.end) == ("Text:\n", "Answer\n")
+    assert annotation.Prompt("", "", "").begin == "" and annotation.Prompt("s", "a ", " b").end == " b"
+    form = annotation.response_format("TopicAI", {"topic_ai": str, "sure": bool})
+    assert form["json_schema"]["strict"] is True and form["json_schema"]["schema"]["required"] == ["topic_ai", "sure"]
+    assert annotation.last_key({"a": int, "b": str}) == "b"
+    df = spark.createDataFrame([("1", "x"), ("2", None), ("3", "z")], "id string, text string")
+    done = spark.createDataFrame([("3",)], "custom_id string")
+    rows = {r.custom_id: json.loads(r.request) for r in annotation.chat_records(df, "id", prompt, F.col("text"), "judge-1", form, done).collect()}
+    assert set(rows) == {"1", "2"} and rows["1"]["body"]["response_format"] == form
+    assert rows["1"]["body"]["messages"] == [{"role": "system", "content": "Judge."}, {"role": "user", "content": "Text:\nxAnswer\n"}]
+    assert value(spark, annotation.token_cost(F.lit(10), F.lit(10), "opus", batch=False)) == 10 * (annotation.PRICES["opus"].input + annotation.PRICES["opus"].output)
+    assert json.loads(value(spark, annotation.as_string(F.struct(F.lit("ä").alias("a"), F.lit(None).cast("int").alias("b"))))) == {"a": "ä", "b": None}
+
+
+def test_search_terms(spark):
+    from textloom.functions.searchterms import KI_REGEX_LLM, SUBJECTIVE_1, SUBJECTIVE_2
+
+    docs = spark.createDataFrame([(1, ["Der", "Chatbot", "KI"], "Künstliche Intelligenz und Überwachtes Lernen"), (2, ["Haus"], "Ein Haus"), (3, ["ein", "Testbot"], "KI-Forschung")], "doc_id long, tokens array<string>, text string")
+    assert {r.doc_id: r.n_hits for r in retrieval.match_wordlist(docs, SUBJECTIVE_1, 1, escape=False).collect()} == {1: 2, 3: 1}
+    assert {r.doc_id: r.n_hits for r in retrieval.match_wordlist(docs, SUBJECTIVE_2, 1, escape=False).collect()} == {1: 1}
+    assert {r.doc_id: len(r.matches) for r in retrieval.match_regex(docs, KI_REGEX_LLM, "text", 1).collect()} == {1: 2, 3: 1}
+
+
+def test_unit_node_counts_equal_edges(spark):
+    rows = [(1, ["a", "b", "a", "c", "x", "|", "x", "b", "b"]), (2, ["x", "x"]), (3, ["b", None, "x"]), (4, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").withColumn("tokens", F.filter("tokens", lambda w: w.isNotNull()))
+    for twice in (True, False):
+        edges = {(r.w, r.o): r.cnt for r in cooccurrence.unit_counts(docs, "|", twice).collect()}
+        got = {r.term: r for r in cooccurrence.unit_node_counts(docs, "x", "|", twice).collect()}
+        assert {t: r.total for t, r in got.items()} == {w: sum(n for (a, _), n in edges.items() if a == w) for w in {a for a, _ in edges}}
+        assert {t: r.cnt for t, r in got.items() if r.cnt} == {o: n for (w, o), n in edges.items() if w == "x"}
+        assert {t: r.back for t, r in got.items() if r.back} == {w: n for (w, o), n in edges.items() if o == "x"}

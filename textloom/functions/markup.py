@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import html
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,12 +62,25 @@ def tag_keywords(markup: Column) -> Column:
     return F.filter(F.transform(mine, lambda t: F.regexp_replace(_attribute(t, "content"), r'^(?:\\?"|&quot;)+|(?:\\?"|&quot;)+$', "")), lambda x: x.isNotNull())
 
 
+#: German names of the months.
+MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"]
+
+
 def page_date(markup: Column) -> Column:
-    """Date that a page's metadata or ``time`` elements give (ISO form), else null."""
+    """Date of a page: from its metadata, structured data or ``time`` elements, else the first day
+    that its text names (``dd.mm.yyyy`` or ``dd. Monat yyyy``); null without any."""
     named = meta_map(markup, ["date", "article:published_time", "dc.date", "og:published_time", "last-modified"])
     first = F.coalesce(*[F.try_element_at(named, F.lit(k)) for k in ("date", "article:published_time", "dc.date", "og:published_time", "last-modified")])
     timed = F.nullif(F.regexp_extract(F.coalesce(markup, F.lit("")), r"(?is)<time\b[^>]*datetime\s*=\s*[\"'](\d{4}-\d{2}-\d{2})", 1), F.lit(""))
-    return F.try_to_date(F.regexp_extract(F.coalesce(first, timed), r"^(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    content = F.coalesce(markup, F.lit(""))
+    structured = F.nullif(F.regexp_extract(content, r'(?is)"date(?:Published|Modified|Created)"\s*:\s*"(\d{4}-\d{2}-\d{2})', 1), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(content, r"(?is)<(script|style|head)\b.*?</\1\s*>", " "), "<[^>]*>", " ")
+    named_day = r"(?iU)\b(\d{1,2})\.\s*(?:(\d{1,2})\.|(" + "|".join(MONTHS) + r"))\s*(\d{4})\b"
+    day, month, name, year = (F.regexp_extract(text, named_day, k) for k in (1, 2, 3, 4))
+    number = F.when(name != "", F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)).cast("string")).otherwise(month)
+    written = F.when(day != "", F.concat_ws("-", year, F.lpad(number, 2, "0"), F.lpad(day, 2, "0")))
+    iso = F.regexp_extract(F.coalesce(first, structured, timed), r"^(\d{4}-\d{2}-\d{2})", 1)
+    return F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.try_to_date(written, "yyyy-MM-dd"))
 
 
 def in_february(date: Column) -> Column:
@@ -73,34 +89,58 @@ def in_february(date: Column) -> Column:
 
 
 def update_in_february(markup: Column) -> Column:
-    """The same of a ``span`` whose id holds ``last_update`` (``dd. Month yyyy``, German)."""
+    """The same of a ``span`` whose id holds ``last_update`` (``dd. Month yyyy``, German); where
+    it has another form than three words, the page's date counts."""
     text = F.regexp_extract(F.coalesce(markup, F.lit("")), r"(?is)<span\b[^>]*id\s*=\s*[\"'][^\"']*last_update[^\"']*[\"'][^>]*>(.*?)</span", 1)
     plain = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), r"\.", "")
-    return plain.rlike(r"^(0[1-9]|1\d|2[0-8]) Februar 202[0-5]$")
+    there = F.coalesce(markup.rlike(r"(?is)<span\b[^>]*id\s*=\s*[\"'][^\"']*last_update"), F.lit(False))
+    other = there & (F.size(F.split(plain, " ")) != 3)
+    return F.when(other, in_february(page_date(markup))).otherwise(plain.rlike(r"^(0[1-9]|1\d|2[0-8]) Februar 202[0-5]$"))
 
 
 _KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "pre", "dt", "dd"}
-_SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "figure", "table", "head", "svg", "iframe"}
-_HOLDERS = {"div", "section", "article", "main", "body", "td"}
+_SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "figure", "head", "svg", "iframe"}
+_HOLDERS = {"div", "section", "article", "main", "body", "td", "th"}
+#: Further elements that end a block of text.
+_ENDS = {"table", "tbody", "thead", "tr", "ul", "ol", "dl", "hr"}
+#: Loose text is a paragraph if it has so many characters and a sentence end.
+_LEAST_TEXT = 30
+_SENTENCE_END = re.compile(r"[.!?…][\"“”«»')\]]*(?:\s|$)")
+
+
+class _Block(NamedTuple):
+    holder: int
+    name: str
+    text: str
+    linked: int
+    loose: bool
+
+    @property
+    def paragraph(self) -> bool:
+        """A paragraph element, or loose text that is unlinked prose."""
+        if self.name not in ("p", "blockquote", "pre"):
+            return False
+        return not self.loose or (len(self.text) >= _LEAST_TEXT and 2 * self.linked <= len(self.text) and bool(_SENTENCE_END.search(self.text)))
 
 
 class _Reader(HTMLParser):
-    """Kept elements of a page with the innermost holder that they stand in."""
+    """Blocks of a page with the innermost holder that they stand in; text straight in a holder is a block too."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.heading_meta = "", ""
-        self.found: list[tuple[int, str, str, int]] = []  # holder, element, text, link characters
-        self._holders, self._next, self._skip = [0], 1, []
+        self.found: list[_Block] = []
+        self.parents = {0: 0}
+        self.inner: set[int] = set()  # holders that hold others
+        self._holders, self._skip = [0], []
         self._open: str | None = None
         self._text: list[str] = []
         self._linked, self._in_link, self._in_title = 0, False, False
 
-    def _end(self) -> None:
-        if self._open:
-            text = " ".join("".join(self._text).split())
-            if text:
-                self.found.append((self._holders[-1], self._open, text, self._linked))
+    def end(self) -> None:
+        text = " ".join("".join(self._text).split())
+        if text:
+            self.found.append(_Block(self._holders[-1], self._open or "p", text, self._linked, self._open is None))
         self._open, self._text, self._linked, self._in_link = None, [], 0, False
 
     def handle_starttag(self, tag, attrs):
@@ -111,15 +151,21 @@ class _Reader(HTMLParser):
             if (given.get("property") or given.get("name")) == "og:title" and given.get("content"):
                 self.heading_meta = given["content"]
         if tag in _SKIPPED:
-            self._end()
+            self.end()
             self._skip.append(tag)
-        elif not self._skip and tag in _HOLDERS:
-            self._end()
-            self._holders.append(self._next)
-            self._next += 1
-        elif not self._skip and tag in _KEPT:
-            self._end()
+        elif self._skip:
+            return
+        elif tag in _HOLDERS:
+            self.end()
+            number = len(self.parents)
+            self.parents[number] = self._holders[-1]
+            self.inner.add(self._holders[-1])
+            self._holders.append(number)
+        elif tag in _KEPT:
+            self.end()
             self._open = tag
+        elif tag in _ENDS or (tag == "br" and not self._open):
+            self.end()
         elif tag == "a":
             self._in_link = True
         elif tag == "br":
@@ -133,48 +179,64 @@ class _Reader(HTMLParser):
                 while self._skip.pop() != tag:
                     pass
         elif tag in _HOLDERS:
-            self._end()
+            self.end()
             if len(self._holders) > 1:
                 self._holders.pop()
-        elif tag in _KEPT:
-            self._end()
+        elif tag in _KEPT or tag in _ENDS:
+            self.end()
         elif tag == "a":
             self._in_link = False
 
     def handle_data(self, data):
         if self._in_title:
             self.title += data
-        elif not self._skip and self._open:
+        elif not self._skip:
             self._text.append(data)
             if self._in_link:
-                self._linked += len(data)
+                self._linked += len(data.strip())
 
 
 def main_elements(page: str | None, heading: bool = True) -> list[tuple[str, str]]:
-    """Elements ``(name, text)`` of the holder with most unlinked paragraph text.
-
-    Where the first is no heading, a heading from the page's title data is put before it.
-    Empty if the page has no paragraphs.
+    """Elements ``(name, text)`` of the holder with most running text.
+
+    A holder with nothing but one text is a paragraph of the holder around it, so pages that
+    are laid out with ``div`` or table cells count like those with ``p``. Of the holder the
+    blocks from the first to the last paragraph are kept, with a heading before them and a list
+    behind them; what is mostly linked, or loose text without a sentence, is not. Where the
+    first is no heading, one from the page's title data is put before it. Empty if the page
+    has no paragraph.
     """
     if not page:
         return []
     reader = _Reader()
     reader.feed(page)
     reader.close()
-    reader._end()
+    reader.end()
+    number = Counter(b.holder for b in reader.found)
+    found = []
+    for b in reader.found:
+        alone = b.loose and number[b.holder] == 1 and b.holder not in reader.inner
+        found.append(b._replace(holder=reader.parents[b.holder]) if alone else b)
     weight: dict[int, int] = {}
-    for holder, name, text, linked in reader.found:
-        if name in ("p", "blockquote", "pre"):
-            weight[holder] = weight.get(holder, 0) + max(0, len(text) - 2 * linked)
+    for b in found:
+        if b.paragraph:
+            weight[b.holder] = weight.get(b.holder, 0) + max(0, len(b.text) - 2 * b.linked)
     if not weight or max(weight.values()) <= 0:
         return []
     best = min(weight, key=lambda h: (-weight[h], h))
-    chosen = [(name, text) for holder, name, text, linked in reader.found if holder == best and 2 * linked <= len(text)]
-    if heading and chosen and not (chosen[0][0][0] == "h" and chosen[0][0][1:].isdigit()):
+    mine = [b for b in found if b.holder == best and 2 * b.linked <= len(b.text)]
+    at = [k for k, b in enumerate(mine) if b.paragraph]
+    first, last = at[0], at[-1]
+    while last + 1 < len(mine) and mine[last + 1].name in ("li", "dt", "dd"):
+        last += 1
+    titled = {" ".join(x.split()) for x in (reader.heading_meta, reader.title) if x}
+    before = [b._replace(name="h1") if b.loose else b for b in mine[:first] if b.name in ("h1", "h2", "h3") or b.text in titled][-1:]
+    chosen = before + [b for b in mine[first : last + 1] if b.paragraph or not b.loose]
+    if heading and not (chosen[0].name[0] == "h" and chosen[0].name[1:].isdigit()):
         title = " ".join((reader.heading_meta or reader.title).split())
         if title:
-            chosen.insert(0, ("h1", title))
-    return chosen
+            return [("h1", title), *((b.name, b.text) for b in chosen)]
+    return [(b.name, b.text) for b in chosen]
 
 
 @F.pandas_udf(StringType())

@@ -5,6 +5,7 @@ Calls to services are not part of this engine; it builds what they get and reads
 
 from __future__ import annotations
 
+import json
 import typing
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -27,6 +28,13 @@ class Prompt:
     begin: str = ""
     end: str = ""
 
+    def __post_init__(self) -> None:
+        """A line end behind ``begin`` and ``end`` where they do not touch the document with white space."""
+        if self.begin and not self.begin[-1].isspace():
+            self.begin += "\n"
+        if self.end and not self.end[0].isspace():
+            self.end += "\n"
+
     @classmethod
     def load(cls, path: str, name: str) -> "Prompt":
         import yaml
@@ -82,6 +90,34 @@ def json_schema(fields: dict[str, object]) -> dict:
     return of(fields)
 
 
+def response_format(name: str, fields: dict[str, object]) -> dict:
+    """The strict envelope in which a service takes a JSON schema."""
+    return {"type": "json_schema", "json_schema": {"name": name, "schema": json_schema(fields), "strict": True}}
+
+
+def last_key(fields: dict[str, object]) -> str:
+    """Name of the last field."""
+    return list(fields)[-1]
+
+
+def as_string(values: Column) -> Column:
+    """A struct as JSON text with all its fields, indented as people read it."""
+    return F.to_json(values, {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def chat_records(df: DataFrame, key: str, prompt: Prompt, content: Column, model: str, format: dict | None = None, done: DataFrame | None = None, **values: Column) -> DataFrame:
+    """``(custom_id, request)`` in the form of a chat service: method, address and body of each request."""
+    todo = df.join(done.select(F.col("custom_id").alias(key)), key, "left_anti") if done is not None else df
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    messages = F.array(turn("system", F.lit(prompt.system)), turn("user", prompt.user_text(content, **values)))
+    body = [F.lit(model).alias("model"), messages.alias("messages")]
+    if format is not None:
+        body.append(F.parse_json(F.lit(json.dumps(format))).alias("response_format"))
+    custom = F.col(key).cast("string")
+    request = F.struct(custom.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), F.struct(*body).alias("body"))
+    return todo.select(custom.alias("custom_id"), F.to_json(request).alias("request"))
+
+
 def batch_records(df: DataFrame, key: str, prompt: Prompt, content: Column, model: str, max_tokens: int = 1024, done: DataFrame | None = None) -> DataFrame:
     """``(custom_id, request)``: a JSON request of each document that is not done yet."""
     todo = df.join(done.select(F.col("custom_id").alias(key)), key, "left_anti") if done is not None else df
@@ -120,7 +156,10 @@ class TokenPrice:
 
 
 #: Prices by model family.
-PRICES = {"sonnet": TokenPrice(Decimal("0.000003"), Decimal("0.000015"))}
+PRICES = {
+    "sonnet": TokenPrice(Decimal("0.000003"), Decimal("0.000015")),
+    "opus": TokenPrice(Decimal("0.000015"), Decimal("0.000075")),
+}
 
 
 def token_cost(input_tokens: Column, output_tokens: Column, family: str = "sonnet", batch: bool = True) -> Column:

@@ -61,20 +61,45 @@ def window_counts(docs: DataFrame, window: int, separator: str | None = None, co
     return seen.select("p.w", F.explode("p.near").alias("o")).groupBy("w", "o").agg(F.count("*").alias("cnt"))
 
 
+def unit_words(docs: DataFrame, separator: str | None = None, count_duplicates: bool = True) -> DataFrame:
+    """``(words array<struct<w, tf>>)``: the distinct words of each unit with their occurrences (1 without ``count_duplicates``).
+
+    Words are counted by the places where they begin in the sorted unit, so a unit of any size
+    takes a sort and no comparison of all with all.
+    """
+    each = units(docs, separator).select(F.sort_array("tokens").alias("s"))
+    begins = F.filter(F.transform("s", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get("s", x["i"] - 1) != x["w"]))
+    placed = each.select("s", begins.alias("b"))
+    ends = F.concat(F.slice(F.transform("b", lambda x: x["i"]), F.lit(2), F.size("b")), F.array(F.size("s")))
+    counted = F.zip_with("b", ends, lambda x, e: F.struct(x["w"].alias("w"), ((e - x["i"]) if count_duplicates else F.lit(1)).cast("long").alias("tf")))
+    return placed.select(counted.alias("words"))
+
+
 def unit_counts(docs: DataFrame, separator: str | None = None, count_duplicates: bool = True) -> DataFrame:
     """Edges of different words of one unit: for each occurrence of ``w`` each other distinct word once."""
-    each = units(docs, separator)
-    distinct = F.array_distinct("tokens")
-    counted = each.select(
-        distinct.alias("others"),
-        F.explode(
-            F.transform(distinct, lambda w: F.struct(w.alias("w"), F.size(F.filter("tokens", lambda t: t == w)).alias("tf")))
-            if count_duplicates
-            else F.transform(distinct, lambda w: F.struct(w.alias("w"), F.lit(1).alias("tf")))
-        ).alias("p"),
+    each = unit_words(docs, separator, count_duplicates)
+    opened = each.select(F.explode("words").alias("p"), F.transform("words", lambda x: x["w"]).alias("others"))
+    edges = opened.select("p.w", "p.tf", F.explode("others").alias("o")).where(F.col("w") != F.col("o"))
+    return edges.groupBy("w", "o").agg(F.sum("tf").alias("cnt"))
+
+
+def unit_node_counts(docs: DataFrame, node: str, separator: str | None = None, count_duplicates: bool = True) -> DataFrame:
+    """What ``collocations`` of one node needs of the unit-wide edges, without the pairs of other words.
+
+    ``(term, total, cnt, back)`` of each word with a co-occurrence: its margin, which is the sum
+    over units of its occurrences times the other distinct words, and the edges from and to the
+    node (null where there are none), which only units that hold the node give.
+    """
+    each = unit_words(docs, separator, count_duplicates)
+    mine = F.element_at(F.filter("words", lambda x: x["w"] == node), 1)["tf"]
+    held = each.select("words", (F.size("words") - 1).cast("long").alias("others"), F.when(F.exists("words", lambda x: x["w"] == node), mine).alias("tf_node"))
+    opened = held.where("others > 0").select(F.explode("words").alias("p"), "others", "tf_node").where(F.col("p.w").isNotNull())
+    apart = (F.col("p.w") != node) & F.col("tf_node").isNotNull()
+    return opened.groupBy(F.col("p.w").alias("term")).agg(
+        F.sum(F.col("p.tf") * F.col("others")).alias("total"),
+        F.sum(F.when(apart, F.col("tf_node"))).alias("cnt"),
+        F.sum(F.when(apart, F.col("p.tf"))).alias("back"),
     )
-    edges = counted.select("p.w", "p.tf", F.explode("others").alias("o")).where(F.col("w") != F.col("o"))
-    return edges.groupBy("w", "o").agg(F.sum("tf").cast("long").alias("cnt"))
 
 
 def margins(edges: DataFrame) -> DataFrame:
@@ -143,13 +168,20 @@ def collocations(edges: DataFrame, node: str, measure: str | Callable[..., Colum
     if isinstance(measure, str) and measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}; known are {MEASURES}")
     sums = margins(edges)
-    # the node's margin and the totals are one row
-    whole = sums.agg(F.count("*").alias("v"), F.sum("total").alias("grand"), F.max(F.when(F.col("w") == node, F.col("total"))).alias("left"))
     mine = edges.where(F.col("w") == node).select(F.col("o").alias("term"), "cnt")
     back = edges.where(F.col("o") == node).select(F.col("w").alias("term"), F.col("cnt").alias("back"))
-    terms = sums.select(F.col("w").alias("term"), F.col("total").alias("right"))
-    found = terms.join(mine, "term", "left" if min_count <= 0 else "inner").join(back, "term", "left")
-    found = found.crossJoin(F.broadcast(whole)).where(F.col("left").isNotNull())
+    terms = sums.select(F.col("w").alias("term"), "total").join(mine, "term", "left").join(back, "term", "left")
+    return node_collocations(terms, node, measure, min_count, smoothing)
+
+
+def node_collocations(terms: DataFrame, node: str, measure: str | Callable[..., Column] = "pmi", min_count: int = 1, smoothing: float = 0.0) -> DataFrame:
+    """The same from a table ``(term, total, cnt, back)`` as ``unit_node_counts`` makes it."""
+    if isinstance(measure, str) and measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}; known are {MEASURES}")
+    # the node's margin and the totals are one row
+    whole = terms.agg(F.count("*").alias("v"), F.sum("total").alias("grand"), F.max(F.when(F.col("term") == node, F.col("total"))).alias("left"))
+    listed = terms if min_count <= 0 else terms.where(F.col("cnt").isNotNull())
+    found = listed.withColumnRenamed("total", "right").crossJoin(F.broadcast(whole)).where(F.col("left").isNotNull())
     f, r = F.coalesce("cnt", F.lit(0)), F.coalesce("back", F.lit(0))
     f1, f2, n, v = F.col("left"), F.col("right"), F.col("grand"), F.col("v")
     if callable(measure):

@@ -77,19 +77,23 @@ def ngrams(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = No
     return docs.where(F.size("tokens") >= n).select("doc_id", *carry, F.explode(F.array_distinct(grams) if distinct else grams).alias("term"))
 
 
-def ngram_counts(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``(term, freq, doc_freq)`` of the n-grams.
+def ngram_rows(docs: DataFrame, lengths: Sequence[int], keep: Callable[[Column], Column] | None = None, *carry: str) -> DataFrame:
+    """``(*carry, term, first)``: every n-gram of the given lengths; ``first`` marks one of equal ones of a document.
 
-    The n-grams of a document are sorted within its row, so the first of equal ones stands for the
-    document; both counts then come from one aggregation with partial sums and one shuffle.
+    The n-grams of a document are sorted within its row, so equal ones are neighbours.
     """
-    if n < 1:
+    if not lengths or min(lengths) < 1:
         raise ValueError("n must be at least 1")
-    rows = docs.where(F.size("tokens") >= n).select(F.sort_array(_kept(_grams(n), keep)).alias("g"))
+    grams = [_kept(_grams(n), keep) for n in lengths]
+    rows = docs.where(F.size("tokens") >= min(lengths)).select(*carry, F.sort_array(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("g"))
     before = F.concat(F.array(F.lit(None).cast("array<string>")), F.slice("g", F.lit(1), F.size("g") - 1))
-    each = rows.where(F.size("g") > 0).select(F.explode(F.arrays_zip(F.col("g").alias("term"), before.alias("before"))).alias("z"))
-    first = F.col("z.before").isNull() | (F.col("z.before") != F.col("z.term"))
-    return each.groupBy("z.term").agg(F.count("*").alias("freq"), F.count_if(first).alias("doc_freq"))
+    each = rows.where(F.size("g") > 0).select(*carry, F.explode(F.arrays_zip(F.col("g").alias("term"), before.alias("before"))).alias("z"))
+    return each.select(*carry, "z.term", (F.col("z.before").isNull() | (F.col("z.before") != F.col("z.term"))).alias("first"))
+
+
+def ngram_counts(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(term, freq, doc_freq)`` of the n-grams, by one aggregation with partial sums and one shuffle."""
+    return ngram_rows(docs, [n], keep).groupBy("term").agg(F.count("*").alias("freq"), F.count_if("first").alias("doc_freq"))
 
 
 def corpus_size(docs: DataFrame, n: int = 1) -> DataFrame:

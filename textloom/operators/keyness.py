@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.association import keyness_metric
 from ..functions.words import edge_stopword
-from .corpus import ngram_counts
+from ..session import cut_lineage
+from .corpus import ngram_rows
 
 
-def contingency(study: DataFrame, reference: DataFrame, n: int = 1, smoothing: float = 1e-5, keep: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``(term, freq, doc_freq, o11, o12, o21, o22)`` of each n-gram of the study corpus.
+def contingency(study: DataFrame, reference: DataFrame, n: int | Sequence[int] = 1, smoothing: float = 1e-5, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(term, n, freq, doc_freq, o11, o12, o21, o22)`` of each n-gram of the study corpus.
 
-    A corpus' size is the number of its n-grams that pass ``keep``. The smoothing is added to both
-    frequencies and, for each distinct n-gram, to the sizes.
+    A corpus' size is the number of its n-grams that pass ``keep``; every length has its own
+    sizes. The smoothing is added to both frequencies and, for each distinct n-gram, to the
+    sizes. Both corpora and all lengths are counted in one pass with one shuffle.
     """
-    a, b = ngram_counts(study, n, keep), ngram_counts(reference, n, keep)
-
-    def whole(counts: DataFrame, side: str) -> DataFrame:
-        return counts.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias(f"size_{side}"), F.count("*").alias(f"unique_{side}"))
-
-    one = whole(a, "s").crossJoin(F.broadcast(whole(b, "r")))  # one row
+    lengths = [n] if isinstance(n, int) else sorted(set(n))
+    both = study.select("tokens", F.lit(True).alias("mine")).unionByName(reference.select("tokens", F.lit(False).alias("mine")))
+    each = ngram_rows(both, lengths, keep, "mine")
+    counts = each.groupBy("term").agg(
+        F.count_if("mine").alias("freq"),
+        F.count_if(F.col("mine") & F.col("first")).alias("doc_freq"),
+        F.count_if(~F.col("mine")).alias("freq_r"),
+    )
+    counts = cut_lineage(counts.withColumn("n", F.size("term")))
+    # one row a length
+    sizes = counts.groupBy(F.col("n").alias("of_n")).agg(
+        F.sum("freq").alias("size_s"), F.count_if(F.col("freq") > 0).alias("unique_s"), F.sum("freq_r").alias("size_r"), F.count_if(F.col("freq_r") > 0).alias("unique_r")
+    )
     s = F.lit(smoothing)
-    joined = a.join(b.select("term", F.col("freq").alias("freq_r")), "term", "left").crossJoin(F.broadcast(one))  # one row of totals
-    o11 = F.col("freq") + s
-    o12 = F.coalesce("freq_r", F.lit(0)) + s
+    joined = counts.where("freq > 0").join(F.broadcast(sizes), F.col("n") == F.col("of_n"))
+    o11, o12 = F.col("freq") + s, F.col("freq_r") + s
     return joined.select(
         "term",
+        "n",
         "freq",
         "doc_freq",
         o11.alias("o11"),
@@ -42,7 +51,7 @@ def contingency(study: DataFrame, reference: DataFrame, n: int = 1, smoothing: f
 def keywords_of_length(
     study: DataFrame,
     reference: DataFrame,
-    n: int,
+    n: int | Sequence[int],
     metric: str | Callable[..., Column] = "log_likelihood",
     smoothing: float = 1e-4,
     min_docs: int = 1,
@@ -50,17 +59,14 @@ def keywords_of_length(
     stopwords: Iterable[str] | None = None,
     keep: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """``(term, n, freq, doc_freq, keyness)`` of the n-grams that pass the limits."""
+    """``(term, n, freq, doc_freq, keyness)`` of the n-grams of a length, or of several, that pass the limits."""
     measure = keyness_metric(metric)
     table = contingency(study, reference, n, smoothing, keep).where((F.col("doc_freq") >= min_docs) & (F.col("freq") >= min_freq))
     if stopwords is not None:
         table = table.where(~edge_stopword(F.col("term"), stopwords))
-    return table.select("term", F.lit(n).alias("n"), "freq", "doc_freq", measure(*[F.col(c) for c in ("o11", "o12", "o21", "o22")]).alias("keyness"))
+    return table.select("term", "n", "freq", "doc_freq", measure(*[F.col(c) for c in ("o11", "o12", "o21", "o22")]).alias("keyness"))
 
 
 def keywords(study: DataFrame, reference: DataFrame, max_n: int = 3, **options) -> DataFrame:
     """Keywords of 1 to ``max_n`` words; every length has its own sizes."""
-    out = keywords_of_length(study, reference, 1, **options)
-    for n in range(2, max_n + 1):
-        out = out.unionByName(keywords_of_length(study, reference, n, **options))
-    return out
+    return keywords_of_length(study, reference, range(1, max_n + 1), **options)

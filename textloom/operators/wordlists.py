@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def top_with_ties(df: DataFrame, by: str, top: int) -> DataFrame:
     """The ``top`` rows by a column, largest first, and all rows that tie with the last.
 
-    The cutoff value comes from a top-k (a heap per partition), so no task sorts all rows.
-    Null values never count.
+    The cutoff value comes from a top-k (a heap per partition), so no task sorts all rows. The
+    rows are written once and read twice. Null values never count.
     """
-    known = df.where(F.col(by).isNotNull())
+    known = cut_lineage(df.where(F.col(by).isNotNull()))
     cutoff = known.select(F.col(by).alias("v")).orderBy(F.col("v").desc()).limit(top).agg(F.min("v").alias("cutoff"))
     return known.crossJoin(F.broadcast(cutoff)).where(F.col(by) >= F.col("cutoff")).drop("cutoff")  # one row
 
@@ -34,16 +36,17 @@ def without_redundant(df: DataFrame, term: str, by: str) -> DataFrame:
 
     Dropped rows still make others redundant; the same term again is redundant too.
     """
-    ranked = df.select("*", F.struct(F.col(by), F.col(term)).alias("__rank"), F.monotonically_increasing_id().alias("__row"))
+    # the rank holds the term, so it tells a row; rows of one rank are redundant to each other
+    ranked = df.select("*", F.struct(F.col(by), F.col(term)).alias("__rank"))
     n = F.size(term)
     sizes = F.sequence(F.lit(1), n)
     subs = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.slice(term, i, k)))))
-    inside = ranked.where(n > 0).select("__row", "__rank", F.explode(subs).alias("__sub"))
+    inside = ranked.where(n > 0).select("__rank", F.explode(subs).alias("__sub"))
     best = ranked.groupBy(F.col(term).alias("__sub")).agg(F.max("__rank").alias("__first"))
-    redundant = inside.join(best, "__sub").where(F.col("__first") > F.col("__rank")).select("__row").distinct()
-    kept = ranked.join(redundant, "__row", "left_anti")
-    again = F.row_number().over(Window.partitionBy(term).orderBy(F.col("__rank").desc(), "__row"))
-    return kept.withColumn("__again", again).where(F.col("__again") == 1).drop("__again", "__rank", "__row")
+    redundant = inside.join(best, "__sub").where(F.col("__first") > F.col("__rank")).select(F.col("__rank").alias("__gone")).distinct()
+    kept = ranked.join(redundant, F.col("__rank").eqNullSafe(F.col("__gone")), "left_anti")
+    again = F.row_number().over(Window.partitionBy(term).orderBy(F.col("__rank").desc(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
+    return kept.withColumn("__again", again).where(F.col("__again") == 1).drop("__again", "__rank")
 
 
 def query_string(words: DataFrame, term: str = "term", order: str = "ord", separator: str = "|") -> DataFrame:

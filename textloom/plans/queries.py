@@ -510,9 +510,9 @@ def colloc_min_sens(spark, folder):
   select term, stat, doc_freq from s where stat > 0 qualify rank() over (order by stat desc) <= 50""")
 def colloc_query(spark, folder):
     docs = cut_lineage(_raw_words(spark, folder))
-    edges = cut_lineage(cooccurrence.unit_counts(docs, _SEPARATOR))
+    terms = cut_lineage(cooccurrence.unit_node_counts(docs, "Modell", _SEPARATOR))
     frequent = corpus.ngram_counts(docs, 1).select(F.col("term")[0].alias("term"), "doc_freq")
-    rounded = _rounded(cooccurrence.collocations(edges, "Modell", "npmi", 1, 1e-4), "stat").where(F.col("stat") > 0)
+    rounded = _rounded(cooccurrence.node_collocations(terms, "Modell", "npmi", 1, 1e-4), "stat").where(F.col("stat") > 0)
     return wordlists.top_with_ties(rounded.join(frequent, "term").where(F.col("doc_freq") >= 5), "stat", 50)
 
 
@@ -556,7 +556,7 @@ _METRIC_SQL["g_test"] = _g_sql()
 @query(f"with {_SPLIT}, {_table_sql(2, '')} select term, freq, doc_freq, round(o11, 6) as o11, round(o12, 6) as o12, round(o21, 6) as o21, round(o22, 6) as o22 from k")
 def key_contingency(spark, folder):
     study, reference, _, _ = _study(spark, folder)
-    return _joined(_rounded(keyness.contingency(study, reference, 2, 1e-4), "o11", "o12", "o21", "o22"))
+    return _joined(_rounded(keyness.contingency(study, reference, 2, 1e-4), "o11", "o12", "o21", "o22")).drop("n")
 
 
 def _register_metric(metric: str) -> None:
