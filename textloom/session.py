@@ -106,6 +106,21 @@ def latest_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, number: str, *order: str) -> DataFrame:
+    """``df`` with consecutive numbers from 0 in an order that no two rows share.
+
+    Numbers come from a range sort and the counts of its partitions, not from one task; the
+    sorted rows are written, so a repeated task cannot number them otherwise.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    # one row a partition
+    before = F.sum("k").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("__part").agg(F.count("*").alias("k")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = parts.withColumn("__in", inside).join(F.broadcast(offsets), "__part")
+    return placed.withColumn(number, (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__part", "__in", "__before")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
