@@ -14,7 +14,7 @@ VOTERS = ["expert_annotator_1", "expert_annotator_2", "student_annotator_1", "st
 
 
 def _latest_lemmas(spark: SparkSession, folder: str) -> DataFrame:
-    return latest_rows(table(spark, folder, "articles").select("id", "ingested_at", "lemmas"), "id", "ingested_at")
+    return latest_rows(table(spark, folder, "articles").select("id", "ingested_at", "lemmas"), "id", "ingested_at").select("lemmas")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,12 +26,17 @@ def p1_term_counts(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.term_marks(_latest_lemmas(spark, folder), "lemmas").select("term", "occurrences", "records", "mark")
 
 
+def p1_pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = frequency.ngram_frequencies(_latest_lemmas(spark, folder), "lemmas", 2).where(F.size("ngram") > 0)
+    return counted.select(F.array_join("ngram", " + ").alias("ngram"), F.size("ngram").alias("n"), "occurrences", "records")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return cooccurrence.frequent_pairs(_latest_lemmas(spark, folder), "lemmas").select("term_a", "term_b")
+    return cooccurrence.frequent_pairs(cut_lineage(_latest_lemmas(spark, folder)), "lemmas").select("term_a", "term_b")
 
 
 def p7_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = cooccurrence.frequent_pairs(_latest_lemmas(spark, folder), "lemmas")
+    pairs = cooccurrence.frequent_pairs(cut_lineage(_latest_lemmas(spark, folder)), "lemmas")
     return pairs.withColumn("lift", F.round("lift", 6))
 
 
@@ -204,6 +209,7 @@ QUERIES = {
     "p9_report": p9_report,
     "p1_found": p1_found,
     "p1_term_counts": p1_term_counts,
+    "p1_pair_counts": p1_pair_counts,
     "p4_found": p4_found,
     "p4_consensus": p4_consensus,
     "p4_annotators": p4_annotators,

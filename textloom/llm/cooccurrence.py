@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frequency import ngram_frequencies
-from ..session import cut_lineage
+from ..session import cut_lineage, numbered
 from .terms import encode, pieces
 
 MIN_TOGETHER = 5
@@ -145,7 +145,7 @@ def frequent_pairs(
         names = F.broadcast(names)
         pairs = records.select(F.col(column).cast("array<string>").alias("x")).mapInArrow(_gram_batches(numbers, max(1, size)), "a long, b long, n long")
     else:
-        names = cut_lineage(vocabulary.orderBy("term").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])).toDF("item long, term string, n long"))
+        names = cut_lineage(numbered(vocabulary.select("term", "n"), "item", "term").select("item", "term", "n"))
         baskets = _encoded_by_join(records, column, names)
         pairs = baskets.mapInArrow(_gram_batches(None, size), "a long, b long, n long")
     summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
@@ -175,6 +175,8 @@ def _normal_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _encoded_by_join(records: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """Sorted item numbers of each record, for vocabularies too large to send around."""
-    keyed = records.select(F.monotonically_increasing_id().alias("record"), F.col(column).cast("array<string>").alias("x"))
+    # numbers of rows of a written table stay the same when a task is repeated
+    written = cut_lineage(records.select(F.col(column).cast("array<string>").alias("x")))
+    keyed = written.select(F.monotonically_increasing_id().alias("record"), "x")
     incidences = keyed.mapInArrow(_normal_terms, "record long, term string")
     return incidences.join(names, "term").groupBy("record").agg(F.collect_list("item").alias("items")).select("items")

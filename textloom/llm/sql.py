@@ -127,6 +127,15 @@ ORACLE = {
     "p6_cleaned": f"""with {_KEYED}, marked as (select k.*, s.line is not null as gone from keyed k left join single s on k.site = s.site and k.line = s.line),
         made as (select id, coalesce(string_agg(raw, chr(10) order by pos) filter (where not gone), '') as clean, count(*) filter (where gone) as n from marked where site is not null group by id)
         select s.id, case when m.id is null then s.text else m.clean end as text_clean, coalesce(m.n, 0) as n_removed from sites s left join made m using (id)""",
+    "p1_pair_counts": rf"""with latest as (
+          select id, lemmas from articles where id is not null qualify row_number() over (partition by id order by ingested_at desc nulls last) = 1
+        ), elements as (
+          select id, i, lower(trim(nfc_normalize(x), ' ' || chr(160) || chr(9) || chr(10) || chr(13))) as term from latest, unnest(lemmas) with ordinality as u(x, i)
+        ), terms as (select * from elements where regexp_matches(term, '\p{{L}}')
+        ), grams as (
+          select id, term as ngram, 1 as n from terms union all
+          select a.id, a.term || ' + ' || b.term, 2 from terms a join terms b on a.id = b.id and b.i = a.i + 1
+        ) select ngram, n, count(*) as occurrences, count(distinct id) as records from grams group by ngram, n""",
     "p1_found": f"""with {_TERMS} select term, case when records <= 2 then 'rare' else 'common' end as mark
         from counted, whole where records <= 2 or records > 0.4 * n""",
     "p1_term_counts": f"""with {_TERMS} select term, occurrences, records,
