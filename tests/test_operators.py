@@ -319,7 +319,7 @@ def test_dawid_skene(spark):
     assert right["a"] > right["b"] > right["c"]
     few = spark.createDataFrame(rows[:150], "item string, rater string, label string")
     a, ea = rating.dawid_skene(few, max_rounds=4)
-    b, eb = rating.dawid_skene(few, max_rounds=4, driver_sets=0)
+    b, eb = rating.dawid_skene(few, max_rounds=4, driver_votes=0)
     assert {(r["item"], r.label, round(r.p1, 6), round(r.p2, 6)) for r in a.collect()} == {(r["item"], r.label, round(r.p1, 6), round(r.p2, 6)) for r in b.collect()}
     assert {(r.rater, r.truth, r.given, round(r.rate, 6)) for r in ea.collect()} == {(r.rater, r.truth, r.given, round(r.rate, 6)) for r in eb.collect()}
     experts = spark.createDataFrame([("0", "1_hauptthema", None), ("1", None, None)], "item string, a string, b string")

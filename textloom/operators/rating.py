@@ -81,48 +81,50 @@ def krippendorff_alpha(votes: DataFrame, level: str = "nominal") -> DataFrame:
     return sums.select((1 - (F.col("n") - 1) * F.try_divide("observed", "expected")).alias("alpha"), F.coalesce("n", F.lit(0.0)).alias("n_pairable"))
 
 
-#: Distinct sets of votes that the driver may iterate over; beyond it the rounds are Spark jobs.
-DRIVER_SETS = 100_000
+#: Votes of distinct sets that the driver may iterate over; beyond it the rounds are Spark jobs.
+DRIVER_VOTES = 500_000
 
 
-def dawid_skene(votes: DataFrame, classes: list[str] = CLASSES, max_rounds: int = 45, tolerance: float = 1e-9, driver_sets: int = DRIVER_SETS) -> tuple[DataFrame, DataFrame]:
+def dawid_skene(votes: DataFrame, classes: list[str] = CLASSES, max_rounds: int = 45, tolerance: float = 0.0, driver_votes: int = DRIVER_VOTES) -> tuple[DataFrame, DataFrame]:
     """Class probabilities of items and error rates of raters by expectation maximisation.
 
     Items with the same votes have the same estimate, so the rounds run over the distinct sets
-    of votes with their numbers of items: in the driver if these are few, else as Spark jobs.
-    Returns ``(item, label, probability, p1..pk)`` and ``(rater, truth, given, rate)``.
+    of votes with their numbers of items, kept as votes whatever the number of raters: in the
+    driver if they are few, else as Spark jobs. Rounds end early only if the likelihood moves
+    by less than ``tolerance``. Returns ``(item, label, probability, p1..pk)`` and
+    ``(rater, truth, given, rate)``.
     """
     signed = votes.where(F.col("label").isin(classes)).groupBy("item").agg(F.array_sort(F.collect_set(F.struct("rater", "label"))).alias("v"))
     signed = cut_lineage(signed.withColumn("signature", F.sha2(F.to_json("v"), 256)))
     sets = cut_lineage(signed.groupBy("signature").agg(F.first("v").alias("v"), F.count("*").alias("times")))
-    if sets.count() > driver_sets:
+    if (sets.agg(F.sum(F.size("v"))).first()[0] or 0) > driver_votes:
         table, errors = _dawid_skene_jobs(sets, classes, max_rounds, tolerance)
         return signed.select("item", "signature").join(table, "signature").drop("signature"), errors
     rows = sets.orderBy("signature").collect()
     spark = votes.sparkSession
     people = sorted({x.rater for r in rows for x in r.v})
     at, of = {p: k for k, p in enumerate(people)}, {c: k for k, c in enumerate(classes)}
-    n_classes = len(classes)
-    given = np.zeros((len(rows), len(people), n_classes))
-    for k, r in enumerate(rows):
-        for x in r.v:
-            given[k, at[x.rater], of[x.label]] += 1
+    n = len(classes)
+    of_row = np.array([k for k, r in enumerate(rows) for _ in r.v], dtype=np.int64)
+    who = np.array([at[x.rater] for r in rows for x in r.v], dtype=np.int64)
+    what = np.array([of[x.label] for r in rows for x in r.v], dtype=np.int64)
     times = np.array([r.times for r in rows], dtype=float)
-    chance = given.sum(axis=1)
+    chance = np.zeros((len(rows), n))
+    np.add.at(chance, (of_row, what), 1.0)
     chance = chance / np.maximum(chance.sum(axis=1, keepdims=True), 1)
-    rates = np.zeros((len(people), n_classes, n_classes))
+    rates = np.zeros((len(people), n, n))  # rater, given, truth
     before = -math.inf
     for _ in range(max_rounds):
         if not len(rows):
             break
         prior = (times[:, None] * chance).sum(axis=0)
         prior = prior / prior.sum()
-        rates = np.einsum("i,ic,irl->rcl", times, chance, given)
-        whole = rates.sum(axis=2, keepdims=True)
+        rates = np.zeros((len(people), n, n))
+        np.add.at(rates, (who, what), times[of_row][:, None] * chance[of_row])
+        whole = rates.sum(axis=1, keepdims=True)
         rates = np.divide(rates, whole, out=np.zeros_like(rates), where=whole > 0)
-        with np.errstate(divide="ignore"):
-            logs = np.log(np.maximum(rates, 1e-300))
-            joint = np.log(np.maximum(prior, 1e-300))[None, :] + np.einsum("irl,rcl->ic", given, logs)
+        joint = np.tile(np.log(np.maximum(prior, 1e-300)), (len(rows), 1))
+        np.add.at(joint, of_row, np.log(np.maximum(rates, 1e-300))[who, what])
         top = joint.max(axis=1, keepdims=True)
         scaled = np.exp(joint - top)
         chance = scaled / scaled.sum(axis=1, keepdims=True)
@@ -130,13 +132,13 @@ def dawid_skene(votes: DataFrame, classes: list[str] = CLASSES, max_rounds: int
         if abs(likelihood - before) < tolerance:
             break
         before = likelihood
-    names = [f"p{k + 1}" for k in range(n_classes)]
+    names = [f"p{k + 1}" for k in range(n)]
     table = spark.createDataFrame(
         [(r.signature, classes[int(c.argmax())], float(c.max()), *map(float, c)) for r, c in zip(rows, chance)],
-        "signature string, label string, probability double, " + ", ".join(f"{n} double" for n in names),
+        "signature string, label string, probability double, " + ", ".join(f"{x} double" for x in names),
     )
     errors = spark.createDataFrame(
-        [(p, classes[c], classes[x], float(rates[k, c, x])) for p, k in at.items() for c in range(n_classes) for x in range(n_classes)],
+        [(p, classes[c], classes[x], float(rates[k, x, c])) for p, k in at.items() for c in range(n) for x in range(n)],
         "rater string, truth string, given string, rate double",
     )
     return signed.select("item", "signature").join(table, "signature").drop("signature"), errors

@@ -945,17 +945,42 @@ def rate_alpha_ordinal(spark, folder):
     return _rounded(rating.krippendorff_alpha(_votes(spark, folder), "ordinal"), "alpha", "n_pairable")
 
 
-@query()
+def _em_sql(rounds: int) -> str:
+    """The rounds of the estimation one by one: rates ``r``, shares of classes ``q``, probabilities ``p``."""
+    steps = [
+        _VOTES,
+        "classes as (select unnest(['1_hauptthema', '2_nebenthema', '3_kein_thema']) as c)",
+        "p0 as materialized (select item, c, count(*) filter (where label = c) / count(*) as p from votes, classes group by item, c)",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"r{k} as materialized (select rater, c, label, coalesce(sum(p) / nullif(sum(sum(p)) over (partition by rater, c), 0), 0) as rate from votes join p{k} using (item) group by rater, c, label)",
+            f"q{k} as materialized (select c, ln(greatest(sum(p) / sum(sum(p)) over (), 1e-300)) as prior from p{k} group by c)",
+            f"""l{k} as materialized (select v.item, r.c, any_value(prior) + sum(ln(greatest(rate, 1e-300))) as l from votes v join r{k} r on v.rater = r.rater and v.label = r.label join q{k} q on q.c = r.c group by v.item, r.c)""",
+            f"m{k} as materialized (select item, max(l) as top from l{k} group by item)",
+            f"p{k + 1} as materialized (select item, c, exp(l - top) / sum(exp(l - top)) over (partition by item) as p from l{k} join m{k} using (item))",
+        ]
+    return ", ".join(steps)
+
+
+_ROUNDS = 45
+_ESTIMATED = f"""{_em_sql(_ROUNDS)}, estimated as (select item, arg_max(c, (p, -ascii(c))) as label, max(p) as probability,
+  max(p) filter (where c like '1%') as p1, max(p) filter (where c like '2%') as p2, max(p) filter (where c like '3%') as p3 from p{_ROUNDS} group by item)"""
+
+
+@query(f"with {_ESTIMATED} select item, label, round(probability, 6) as probability, round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3 from estimated")
 def rate_dawid_skene(spark, folder):
-    return rating.dawid_skene(_votes(spark, folder))[0]
+    return _rounded(rating.dawid_skene(_votes(spark, folder), max_rounds=_ROUNDS)[0], "probability", "p1", "p2", "p3")
 
 
-@query()
+@query(f"""with {_em_sql(_ROUNDS)} select a.rater, t.c as truth, g.c as given, round(coalesce(rate, 0), 6) as rate
+  from (select distinct rater from votes) a, classes t, classes g left join r{_ROUNDS - 1} r on r.rater = a.rater and r.c = t.c and r.label = g.c""")
 def rate_error_rates(spark, folder):
-    return rating.dawid_skene(_votes(spark, folder))[1]
+    return _rounded(rating.dawid_skene(_votes(spark, folder), max_rounds=_ROUNDS)[1], "rate")
 
 
-@query()
+@query(f"""with {_ESTIMATED}, experts as (select id as item, list_filter([{_label('expert_annotator_1')}, {_label('expert_annotator_2')}], lambda x: x is not null) as given from rated)
+  select item, label, not list_contains(given, label) as differs from estimated join experts using (item) where len(given) > 0""")
 def rate_expert_disagreement(spark, folder):
     estimated, _ = rating.dawid_skene(_votes(spark, folder))
     experts = ratings(spark, folder, *RATERS[:2]).select(F.col("id").alias("item"), *[rating.normal_label(F.col(c)).alias(c) for c in RATERS[:2]])
