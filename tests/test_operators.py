@@ -458,3 +458,19 @@ def test_unit_node_counts_equal_edges(spark):
         assert {t: r.total for t, r in got.items()} == {w: sum(n for (a, _), n in edges.items() if a == w) for w in {a for a, _ in edges}}
         assert {t: r.cnt for t, r in got.items() if r.cnt} == {o: n for (w, o), n in edges.items() if w == "x"}
         assert {t: r.back for t, r in got.items() if r.back} == {w: n for (w, o), n in edges.items() if o == "x"}
+
+
+def test_nested_elements(spark):
+    one = "<html><body><div><p>Teilen <b>jetzt</b></p><ul><li>A &amp; B</li><li>C</li></ul></div><p>Eigen eins</p><br></body></html>"
+    two = "<div><p>Teilen <b>jetzt</b></p></div><p>Eigen zwei"
+    df = spark.createDataFrame([(1, one), (2, two), (3, None), (4, "")], "doc long, html string")
+    found = deduplication.nested_elements(df, "doc", "html")
+    assert [(r.name, r.text) for r in found.where("doc_id = 1").orderBy("pos").collect()] == [
+        ("html", "Teilen jetzt A & B C Eigen eins"), ("body", "Teilen jetzt A & B C Eigen eins"), ("div", "Teilen jetzt A & B C"), ("p", "Teilen jetzt"), ("b", "jetzt"),
+        ("ul", "A & B C"), ("li", "A & B"), ("li", "C"), ("p", "Eigen eins"), ("br", ""),
+    ]
+    assert {(r.name, r.text, r.n) for r in deduplication.duplicate_elements(found).collect()} == {("p", "Teilen jetzt", 2), ("b", "jetzt", 2)}
+    left = deduplication.without_elements(df, "doc", "html", lambda name, text, n: (name == "p") & (n > 1))
+    assert {r.doc_id: (r.text_deduped, r.n_removed) for r in left.collect()} == {1: ("- A & B\n- C\n\nEigen eins", 1), 2: ("Eigen zwei", 1), 3: ("", 0), 4: ("", 0)}
+    none = deduplication.without_elements(df, "doc", "html", lambda name, text, n: name == "html")
+    assert none.where("doc_id = 1").first().text_deduped == ""

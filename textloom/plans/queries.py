@@ -281,6 +281,19 @@ def dedup_removed_text(spark, folder):
     return deduplication.removed_text(gone)
 
 
+_ALL_ELEMENTS = " union all ".join(
+    f"select id, '{name}' as name, unnest(regexp_extract_all(text_html, '(?s)<{name}>(.*?)</{name}>', 1)) as inside from latest where text_html is not null" for name in ("html", "body", "h1", "h2", "p", "li")
+)
+_NESTED = f"""{_LATEST}, found as ({_ALL_ELEMENTS}),
+  nested as (select id, name, array_to_string(list_filter(list_transform(string_split_regex(inside, '<[^>]*>'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''), ' ') as text from found)"""
+
+
+@query(f"with {_NESTED} select name, text, count(*) as n from nested group by all having count(*) >= 2")
+def dedup_nested_elements(spark, folder):
+    rows = articles(spark, folder, "text_html").where(F.col("text_html").isNotNull())
+    return deduplication.duplicate_elements(deduplication.nested_elements(rows, "id", "text_html"))
+
+
 @query("select doc_id from documents qualify row_number() over (partition by text order by doc_id) = 1")
 def dedup_exact_texts(spark, folder):
     return deduplication.first_of(table(spark, folder, "documents").select("doc_id", "text"), F.col("text"), "doc_id").select("doc_id")
