@@ -57,6 +57,12 @@ def read_profile(path: str, section: str) -> SiteProfile:
         return SiteProfile(**(yaml.safe_load(f)[section] or {}))
 
 
+def example_text(pages: DataFrame, seed: int = 0, url: str = "url", page: str = "html_content") -> DataFrame:
+    """One page, told by a hash of its address and the seed, with its main text: ``(url, text, meta)``."""
+    one = pages.where(F.col(page).isNotNull()).orderBy(F.xxhash64(F.col(url), F.lit(seed)), url).limit(1)
+    return one.select(F.col(url).alias("url"), markup.markup_to_text(markup.main_html(F.col(page))).alias("text"), markup.meta_map(F.col(page)).alias("meta"))
+
+
 def clean_pages(pages: DataFrame, profile: SiteProfile, url: str = "url", page: str = "html_content", existing: DataFrame | None = None, key: str = "page_id") -> DataFrame:
     """Articles of the relevant pages: the columns of ``pages`` without the markup, and
     ``meta, keywords, text_html, text``.

@@ -163,9 +163,14 @@ def deduplicated_texts(found: DataFrame, criterion: Callable[[Column, Column, Co
     return marked.groupBy("doc_id").agg(F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n").alias("text_deduped"), F.count_if("gone").alias("n_removed"))
 
 
-def removed_text(removed: DataFrame) -> DataFrame:
-    """One row ``(text)``: the removed elements' distinct texts in order, parted by blank lines."""
-    return removed.select("text").distinct().agg(F.array_join(F.array_sort(F.collect_list("text")), "\n\n").alias("text"))
+def removed_texts(removed: DataFrame) -> DataFrame:
+    """``(text)``: the removed elements' distinct texts, a row each."""
+    return removed.select("text").distinct()
+
+
+def write_removed(removed: DataFrame, path: str) -> None:
+    """The same in order as text files, parted by blank lines; files follow each other in order."""
+    removed_texts(removed).orderBy("text").select(F.concat("text", F.lit("\n")).alias("value")).write.mode("errorifexists").text(path)
 
 
 def first_of(df: DataFrame, same: Column, order: str, keep_null: bool = False) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def length_stats(df: DataFrame, text: str) -> DataFrame:
     """One row ``(n, mean, median, max, min)`` of the texts' characters; nulls are left out."""
@@ -58,7 +60,7 @@ def detected_languages(df: DataFrame, doc_id: str, text: str, common_words: Data
     """
     listed = common_words.select("lang", F.lower("word").alias("word")).distinct()
     words = df.select(F.col(doc_id).alias("doc_id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word"))
-    hits = words.groupBy("doc_id", "word").agg(F.count("*").alias("k")).join(F.broadcast(listed), "word").groupBy("doc_id", "lang").agg(F.sum("k").alias("k"))
+    hits = words.groupBy("doc_id", "word").agg(F.count("*").alias("k")).join(listed, "word").groupBy("doc_id", "lang").agg(F.sum("k").alias("k"))
     ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("k").desc(), "lang"))).where(F.col("r") == 1)
     return df.select(F.col(doc_id).alias("doc_id")).join(ranked, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("Unknown")).alias("language"), F.coalesce("k", F.lit(0)).alias("n_words"))
 
@@ -106,9 +108,23 @@ def lexicon(df: DataFrame, token: str, lemma: str) -> DataFrame:
     return ranked.where(F.col("r") == 1).select("word", "lemma")
 
 
+#: Words in most documents whose lemmas go to every task, so that no task gets all rows of one of them.
+FREQUENT_WORDS = 1000
+
+
 def lemmatized(df: DataFrame, doc_id: str, text: str, words: DataFrame) -> DataFrame:
-    """``(doc_id, token, lemmas)``: the words of each text and their lemmas (themselves where unknown)."""
-    each = df.select(F.col(doc_id).alias("doc_id"), F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
-    known = each.join(words, "word", "left").select("doc_id", F.when(F.col("pos").isNotNull(), F.struct("pos", "word", F.coalesce("lemma", "word").alias("lemma"))).alias("x"))
-    ordered = F.array_sort(F.collect_list("x"))
-    return known.groupBy("doc_id").agg(ordered.alias("x")).select("doc_id", F.transform("x", lambda e: e["word"]).alias("token"), F.transform("x", lambda e: e["lemma"]).alias("lemmas"))
+    """``(doc_id, token, lemmas)``: the words of each text and their lemmas (themselves where unknown).
+
+    A document meets the lexicon with each distinct word once; keys are unique.
+    """
+    tokens = cut_lineage(df.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("token")))
+    each = tokens.select("doc_id", F.explode(F.array_distinct("token")).alias("word"))
+    # at most FREQUENT_WORDS rows
+    frequent = F.broadcast(each.groupBy("word").agg(F.count("*").alias("k")).orderBy(F.col("k").desc(), "word").limit(FREQUENT_WORDS).select("word"))
+    head = F.broadcast(words.join(frequent, "word", "left_semi").select("word", "lemma"))
+    common = each.join(frequent, "word", "left_semi").join(head, "word")
+    others = each.join(frequent, "word", "left_anti").join(words.select("word", "lemma"), "word")
+    found = common.unionByName(others).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("known"))
+    joined = tokens.join(found, "doc_id", "left")
+    lemma = F.transform("token", lambda w: F.coalesce(F.try_element_at(F.col("known"), w), w))
+    return joined.select("doc_id", "token", lemma.alias("lemmas"))

@@ -71,7 +71,7 @@ def cooccurrence_counts(docs: DataFrame, core: DataFrame, n: int, stopwords: Ite
     # documents meet the flag before their n-grams are opened
     each = ngrams(docs.join(flagged, "doc_id", "left"), n, None, True, "core")
     counts = each.groupBy("term").agg(F.count("*").alias("term_count"), F.count("core").alias("cooc_count")).where(F.col("cooc_count") > 0)
-    counts = counts.join(F.broadcast(core.select("term")), "term", "left_anti")
+    counts = counts.join(core.select("term"), "term", "left_anti")
     return counts.where(~edge_stopword(F.col("term"), stopwords)) if stopwords is not None else counts
 
 

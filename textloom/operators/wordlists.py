@@ -25,7 +25,7 @@ def top_with_core(df: DataFrame, core: DataFrame, by: str, top: int, term: str =
     ``core`` has the column ``term``; both are compared as they are.
     """
     names = core.select(F.col("term").alias(term)).where(F.col(term).isNotNull()).distinct()
-    others = top_with_ties(df.join(F.broadcast(names), term, "left_anti"), by, top)
+    others = top_with_ties(df.join(names, term, "left_anti"), by, top)
     rows = names.join(df, term, "left")
     filled = rows.select([F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) if c != term and t in ("int", "bigint", "double", "float") else F.col(c) for c, t in df.dtypes])
     return others.unionByName(filled.select(others.columns))

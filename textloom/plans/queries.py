@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import association, markup
 from ..functions import words as fw
 from ..operators import annotation, cleaning, cooccurrence, corpus, deduplication, evaluation, filters, keyness, rating, relevance, retrieval, urls, wordlists
-from ..session import cut_lineage, table
+from ..session import cut_lineage, scratch_path, table
 from ..sources import readers, writers
 from .tables import RATERS, SOURCES, articles, core_terms, labelled_words, pages, ratings, stopwords, term_weights, words
 
@@ -127,6 +127,39 @@ def sink_append_run(spark, folder):
 # Pages and markup
 
 
+@query(f"with {_LATEST} select id, url, h1, text from latest where url is not null")
+def sink_json_round_trip(spark, folder):
+    path = scratch_path(spark)
+    rows = articles(spark, folder, "url", "h1", "text").where(F.col("url").isNotNull()).select("id", "url", "h1", "text")
+    writers.write_json(rows.where(F.length("id") % 2 == 0), path, overwrite=True)
+    writers.copy_corpus(rows.withColumn("more", F.lit(1)), path, ["id", "url", "h1", "text"], spark.read.schema(rows.schema).json(path))
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(f"with {_LATEST} select id, url, coalesce(og_title, '') as title, coalesce(text, '') as text from latest where url is not null")
+def sink_table_round_trip(spark, folder):
+    path = scratch_path(spark)
+    rows = articles(spark, folder, "url", "og_title", "text").where(F.col("url").isNotNull())
+    writers.write_table(writers.table_rows(rows, {"id": "id", "url": "url", "og_title": "title", "text": "text"}), path)
+    return readers.read_table(spark, path).select("id", "url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "text")])
+
+
+@query("select custom_id, result_type, case when result_type = 'succeeded' then topic_ai end as topic_ai, case when result_type = 'succeeded' then input_tokens end as input_tokens from llm_results")
+def source_batch_results(spark, folder):
+    path = scratch_path(spark)
+    message = F.struct(F.array(F.struct(F.struct("topic_ai").alias("input"))).alias("content"), F.struct("input_tokens", "output_tokens").alias("usage"))
+    result = F.struct(F.col("result_type").alias("type"), F.when(F.col("result_type") == "succeeded", message).alias("message"))
+    table(spark, folder, "llm_results").select(F.to_json(F.struct("custom_id", result.alias("result"))).alias("value")).write.text(path)
+    return readers.read_batch_output(spark, path).select("custom_id", "result_type", "topic_ai", "input_tokens")
+
+
+@query("select (row_number() over (order by ord) - 1)::int as ord, array_to_string(term, ' ') as term from wordlist")
+def sink_wordlist_round_trip(spark, folder):
+    path = scratch_path(spark)
+    writers.write_wordlist(table(spark, folder, "wordlist"), path)
+    return readers.read_wordlist(spark, path).select("ord", F.array_join("term", " ").alias("term"))
+
+
 @query(f"""with {_PAGES} select page_id, nullif(regexp_extract(html_content, '<meta property="og:title" content="([^"]*)"', 1), '') as og_title,
   nullif(regexp_extract(html_content, '<meta name="date" content="([^"]*)"', 1), '') as date from crawled""")
 def html_meta(spark, folder):
@@ -172,6 +205,28 @@ def html_checks(spark, folder):
     return rows.select("id", filters.not_agency(F.col("text")).alias("not_agency"), filters.not_multipage(F.col("url")).alias("not_multipage"), filters.not_locked(F.lit(None).cast("string")).alias("not_locked"))
 
 
+@query(f"""with {_LATEST}, k as (select id, list_filter(keywords, lambda x: x is not null) as k from latest where keywords is not null)
+  select id, 'keywords' as kind, trim(x) as item from k, unnest(regexp_split_to_array(array_to_string(k, ';'), '[,;]')) as u(x) where trim(x) <> ''
+  union all select id, 'tag', x from k, unnest(k) as u(x)""")
+def html_meta_keywords(spark, folder):
+    rows = articles(spark, folder, "keywords").where(F.col("keywords").isNotNull()).withColumn("k", F.array_compact("keywords"))
+    named = F.concat(F.lit('<meta content="'), F.array_join("k", ";"), F.lit('" name="keywords"><meta name="news_keywords" content="x">'))
+    tags = F.array_join(F.transform("k", lambda x: F.concat(F.lit("""<meta property='\\"article:tag\\"' content='\\\""""), x, F.lit("""\\"'>"""))), "")
+    parts = [rows.select("id", F.lit(kind).alias("kind"), F.explode(found).alias("item")) for kind, found in (("keywords", markup.meta_keywords(named)), ("tag", markup.tag_keywords(tags)))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""with {_LATEST} select id, lpad(((len(url) % 31) + 1)::varchar, 2, '0') || case when len(url) % 2 = 0 then ' Februar ' else ' März ' end || (2018 + len(url) % 9) as day,
+  (len(url) % 31) + 1 <= 28 and len(url) % 2 = 0 and 2018 + len(url) % 9 between 2020 and 2025 as updated, coalesce(source, '') <> 'tagesecho' as free from latest where url is not null""")
+def html_page_checks(spark, folder):
+    rows = articles(spark, folder, "url", "source").where(F.col("url").isNotNull())
+    n = F.length("url")
+    day = F.concat(F.lpad((n % 31 + 1).cast("string"), 2, "0"), F.when(n % 2 == 0, F.lit(" Februar ")).otherwise(F.lit(" März ")), (2018 + n % 9).cast("string"))
+    tier = F.when(F.col("source") == "tagesecho", F.lit("locked")).otherwise(F.coalesce("source", F.lit("")))
+    page = F.concat(F.lit('<meta name="article:content_tier" content="'), tier, F.lit('"><span class=x id="a_last_update_b">'), F.replace(day, F.lit(" F"), F.lit(". F")), F.lit("</span>"))
+    return rows.select("id", day.alias("day"), cleaning.CHECKS["update_is_february"](page).alias("updated"), cleaning.CHECKS["not_locked"](page).alias("free"))
+
+
 @query()
 def html_clean_pages(spark, folder):
     profile = cleaning.SiteProfile(irrelevant=["/thema/"], metadata=["og:title", "date"], getters=["h1", "h2"])
@@ -275,10 +330,10 @@ def dedup_texts(spark, folder):
     return deduplication.deduplicated_texts(_page_elements(spark, folder), deduplication.markup_repeated)
 
 
-@query(f"with {_ELEMENTS} select coalesce(string_agg(text, chr(10) || chr(10) order by text), '') as text from (select distinct text from counts where {_GONE})")
+@query(f"with {_ELEMENTS} select distinct text from counts where {_GONE}")
 def dedup_removed_text(spark, folder):
     gone, _ = deduplication.split_elements(deduplication.duplicate_elements(_page_elements(spark, folder)), deduplication.markup_repeated)
-    return deduplication.removed_text(gone)
+    return deduplication.removed_texts(gone)
 
 
 _ALL_ELEMENTS = " union all ".join(
@@ -413,6 +468,13 @@ def corpus_trigrams(spark, folder):
     return _joined(corpus.ngram_counts(words(spark, folder), 3))
 
 
+@query(f"with {_DOCS} select n, coalesce(sum(greatest(len(tokens) - n + 1, 0)), 0)::bigint as size from docs, unnest([1, 2, 3]) as u(n) group by n")
+def corpus_sizes(spark, folder):
+    docs = words(spark, folder)
+    parts = [corpus.corpus_size(docs, n).withColumn("n", F.lit(n)) for n in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"""with {_DOCS}, {_GOLD}, j as (select source, label from docs left join gold using (doc_id)),
   s as (select source, count(*) as total, count(*) filter (where label = '1_hauptthema') as main, count(*) filter (where label = '2_nebenthema') as side, count(*) filter (where label is not null) as annotated from j group by source)
   select * from s union all select 'Total', sum(total)::bigint, sum(main)::bigint, sum(side)::bigint, sum(annotated)::bigint from s""")
@@ -481,6 +543,17 @@ def cooc_measures(spark, folder):
     return _rounded(cooccurrence.scored_edges(edges, 1e-4).select("w", "o", *cooccurrence.MEASURES), *cooccurrence.MEASURES)
 
 
+_TF, _TF1, _TF2, _TN = "(e.cnt + 0.5)", "(a.total + 0.5 * v)", "(b.total + 0.5 * v)", "(grand + 0.5 * v * v)"
+
+
+@query(f"""with {_UNIT_EDGES}, {_MARGINS} select e.w, e.o, round({_pmi_sql(_TF, _TF1, _TF2, _TN, False)}, 6) as pmi, round({_pmi_sql(_TF, _TF1, _TF2, _TN, True)}, 6) as npmi,
+  round(14 + log2(2 * {_TF} / ({_TF1} + {_TF2})), 6) as log_dice, round(least({_TF} / {_TF1}, (coalesce(r.cnt, 0) + 0.5) / {_TF2}), 6) as min_sens
+  from edges e join margins a on e.w = a.w join margins b on e.o = b.w left join edges r on r.w = e.o and r.o = e.w, whole""")
+def cooc_table_smoothing(spark, folder):
+    edges = cut_lineage(cooccurrence.unit_counts(_raw_words(spark, folder), _SEPARATOR))
+    return _rounded(cooccurrence.scored_edges(edges, table_smoothing=0.5).select("w", "o", *cooccurrence.MEASURES), *cooccurrence.MEASURES)
+
+
 @query(f"""with {_UNIT_EDGES}, stop as (select distinct lower(word) as s from common_words where lang in ('de', 'en')), {_MARGINS}
   select e.w, e.o, e.cnt, m.total as w_total from edges e join margins m using (w) where lower(e.w) not in (select s from stop) and lower(e.o) not in (select s from stop)""")
 def cooc_without_stopwords(spark, folder):

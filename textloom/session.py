@@ -52,6 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; ``release`` removes what is written there."""
+    sc = spark.sparkContext
+    written = _written.get(sc.applicationId)
+    if written is None:
+        written = _written[sc.applicationId] = []
+        atexit.register(release, spark)
+    path = f"{shared_folder(spark).rstrip('/')}/textloom-{sc.applicationId}/{uuid.uuid4().hex}"
+    written.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder of the session and read it from there.
 
@@ -60,13 +72,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     when Python ends, too.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    written = _written.get(sc.applicationId)
-    if written is None:
-        written = _written[sc.applicationId] = []
-        atexit.register(release, spark)
-    path = f"{shared_folder(spark).rstrip('/')}/textloom-{sc.applicationId}/{uuid.uuid4().hex}"
-    written.append(path)
+    path = scratch_path(spark)
     names = [f"c{k}" for k in range(len(df.columns))]
     schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, df.schema)])
     df.toDF(*names).write.parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of the exported table, old name to new.
@@ -83,6 +83,21 @@ def write_wordlist(words: DataFrame, path: str, term: str = "term", order: str =
     lines.coalesce(1).write.mode("ignore").text(path)
 
 
+#: Folders that annotators sort sheets into.
+ANNOTATION_FOLDERS = ["1_hauptthema", "2_nebenthema", "3_kein_thema", "4_unklar", "corpus_full"]
+
+
+def make_annotation_folders(spark: SparkSession, path: str, names: Sequence[str] = ANNOTATION_FOLDERS) -> None:
+    """Empty folders by label; a folder that is there already is an error."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(conf)
+    if system.exists(target):
+        raise FileExistsError(path)
+    for name in names:
+        system.mkdirs(jvm.org.apache.hadoop.fs.Path(target, name))
+
+
 def write_sheets(sheets: DataFrame, path: str, name: str, text: str) -> None:
     """Text sheets in folders by name; an existing folder stays as it is."""
     sheets.select(name, F.col(text).alias("value")).write.mode("ignore").partitionBy(name).text(path)
