@@ -94,6 +94,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return packed.where(F.col("n_parts") > 1).select(F.col("item").alias("doc_id")).distinct()
 
 
+def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(_sized(spark, folder), "doc_id", "n_tokens")
+    return packed.select(F.col("item").alias("doc_id"), "part", "n_parts", "start", "length")
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.container_contents(packing.pack(_sized(spark, folder), "doc_id", "n_tokens"))
 
@@ -111,6 +116,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1].where("short").select("source")
 
 
+def p9_targets(spark: SparkSession, folder: str) -> DataFrame:
+    report = _mixed(spark, folder)[1].withColumn("target_tokens", F.round("target_tokens", 3))
+    return report.select("source", "target_share", "max_repeats", "total_tokens", "available_tokens", "target_tokens", "short")
+
+
 def p9_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0]
 
@@ -203,8 +213,10 @@ QUERIES = {
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
     "p8_found": p8_found,
+    "p8_parts": p8_parts,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
+    "p9_targets": p9_targets,
     "p9_sample": p9_sample,
     "p9_report": p9_report,
     "p1_found": p1_found,

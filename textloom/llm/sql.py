@@ -144,6 +144,12 @@ ORACLE = {
     "p7_found": f"with {_PAIRS} select term_a, term_b from passing",
     "p7_pairs": f"with {_PAIRS} select term_a, term_b, n_a, n_b, n_ab, round(lift, 6) as lift from passing",
     "p8_found": f"select doc_id from documents where {_TOKENS} > 1024",
+    "p8_parts": f"""with sized as (select doc_id, {_TOKENS} as n from documents), parts as (select doc_id, n, ceil(n / 1024)::int as n_parts, unnest(range(0, ceil(n / 1024)::bigint)) as part from sized where n > 0)
+        select doc_id, part::int as part, n_parts, part * 1024 as start, least(1024, n - part * 1024) as length from parts""",
+    "p9_targets": f"""with sized as (select lower(trim(source)) as source, {_TOKENS} as n from documents),
+        whole as (select sum(n)::bigint as n from sized), own as (select source, sum(n)::bigint as n from sized group by source)
+        select m.source, m.target_share, m.max_repeats::bigint as max_repeats, whole.n as total_tokens, coalesce(own.n, 0) as available_tokens, round(m.target_share * whole.n, 3) as target_tokens,
+          m.target_share * whole.n > m.max_repeats * coalesce(own.n, 0) as short from mix_targets m left join own using (source), whole""",
     "p9_found": f"""with sized as (select lower(trim(source)) as source, {_TOKENS} as n from documents),
         whole as (select sum(n) as n from sized), own as (select source, sum(n) as n from sized group by source)
         select m.source from mix_targets m left join own using (source), whole
