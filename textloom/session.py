@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import NullType, StringType, StructField, StructType
 
 
 def local_session(app: str = "textloom", cores: str = "*", **conf: str) -> SparkSession:
@@ -74,9 +74,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     names = [f"c{k}" for k in range(len(df.columns))]
-    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, df.schema)])
-    df.toDF(*names).write.parquet(path)
-    return spark.read.schema(schema).parquet(path).toDF(*df.columns)
+    # columns without a type cannot be written; they hold nothing but nulls
+    bare = [isinstance(f.dataType, NullType) for f in df.schema]
+    schema = StructType([StructField(n, StringType() if b else f.dataType, True) for n, f, b in zip(names, df.schema, bare)])
+    plain = df.toDF(*names)
+    plain.select(*[F.col(n).cast("string").alias(n) if b else n for n, b in zip(names, bare)]).write.parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if b else F.col(n).alias(c) for n, c, b in zip(names, df.columns, bare)])
 
 
 def release(spark: SparkSession) -> None:
