@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.association import NEVER, log_dice, minimum_sensitivity, pmi
+from ..session import cut_lineage
 
 
 def units(docs: DataFrame, separator: str | None = None) -> DataFrame:
@@ -77,8 +78,9 @@ def unit_words(docs: DataFrame, separator: str | None = None, count_duplicates:
 
 def unit_counts(docs: DataFrame, separator: str | None = None, count_duplicates: bool = True) -> DataFrame:
     """Edges of different words of one unit: for each occurrence of ``w`` each other distinct word once."""
-    each = unit_words(docs, separator, count_duplicates)
-    opened = each.select(F.explode("words").alias("p"), F.transform("words", lambda x: x["w"]).alias("others"))
+    # written, for the words would be found anew for every word that is opened
+    each = cut_lineage(unit_words(docs, separator, count_duplicates))
+    opened = each.select(F.explode("words").alias("p"), F.col("words.w").alias("others"))
     edges = opened.select("p.w", "p.tf", F.explode("others").alias("o")).where(F.col("w") != F.col("o"))
     return edges.groupBy("w", "o").agg(F.sum("tf").alias("cnt"))
 
@@ -90,7 +92,7 @@ def unit_node_counts(docs: DataFrame, node: str, separator: str | None = None, c
     over units of its occurrences times the other distinct words, and the edges from and to the
     node (null where there are none), which only units that hold the node give.
     """
-    each = unit_words(docs, separator, count_duplicates)
+    each = cut_lineage(unit_words(docs, separator, count_duplicates))
     mine = F.element_at(F.filter("words", lambda x: x["w"] == node), 1)["tf"]
     held = each.select("words", (F.size("words") - 1).cast("long").alias("others"), F.when(F.exists("words", lambda x: x["w"] == node), mine).alias("tf_node"))
     opened = held.where("others > 0").select(F.explode("words").alias("p"), "others", "tf_node").where(F.col("p.w").isNotNull())

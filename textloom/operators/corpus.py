@@ -52,7 +52,7 @@ def words_as_one(docs: DataFrame, words: Sequence[str], name: str | None = None)
     return docs.withColumn("tokens", F.transform("tokens", lambda w: F.when(w.isin(list(words)), F.lit(joined)).otherwise(w)))
 
 
-def _grams(n: int) -> Column:
+def grams(n: int) -> Column:
     """All n-grams of ``tokens`` as an array of arrays, from shifted arrays zipped."""
     tokens = F.col("tokens")
     if n == 1:
@@ -62,8 +62,8 @@ def _grams(n: int) -> Column:
     return F.transform(zipped, lambda z: F.array(*[z[f"w{k}"] for k in range(n)]))
 
 
-def _kept(grams: Column, keep: Callable[[Column], Column] | None) -> Column:
-    return F.filter(grams, lambda g: F.forall(g, keep)) if keep else grams
+def _kept(found: Column, keep: Callable[[Column], Column] | None) -> Column:
+    return F.filter(found, lambda g: F.forall(g, keep)) if keep else found
 
 
 def ngrams(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None, distinct: bool = False, *carry: str) -> DataFrame:
@@ -73,8 +73,8 @@ def ngrams(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = No
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    grams = _kept(_grams(n), keep)
-    return docs.where(F.size("tokens") >= n).select("doc_id", *carry, F.explode(F.array_distinct(grams) if distinct else grams).alias("term"))
+    found = _kept(grams(n), keep)
+    return docs.where(F.size("tokens") >= n).select("doc_id", *carry, F.explode(F.array_distinct(found) if distinct else found).alias("term"))
 
 
 def ngram_rows(docs: DataFrame, lengths: Sequence[int], keep: Callable[[Column], Column] | None = None, *carry: str) -> DataFrame:
@@ -84,11 +84,11 @@ def ngram_rows(docs: DataFrame, lengths: Sequence[int], keep: Callable[[Column],
     """
     if not lengths or min(lengths) < 1:
         raise ValueError("n must be at least 1")
-    grams = [_kept(_grams(n), keep) for n in lengths]
-    rows = docs.where(F.size("tokens") >= min(lengths)).select(*carry, F.sort_array(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("g"))
+    each = [_kept(grams(n), keep) for n in lengths]
+    rows = docs.where(F.size("tokens") >= min(lengths)).select(*carry, F.sort_array(F.concat(*each) if len(each) > 1 else each[0]).alias("g"))
     before = F.concat(F.array(F.lit(None).cast("array<string>")), F.slice("g", F.lit(1), F.size("g") - 1))
-    each = rows.where(F.size("g") > 0).select(*carry, F.explode(F.arrays_zip(F.col("g").alias("term"), before.alias("before"))).alias("z"))
-    return each.select(*carry, "z.term", (F.col("z.before").isNull() | (F.col("z.before") != F.col("z.term"))).alias("first"))
+    opened = rows.where(F.size("g") > 0).select(*carry, F.explode(F.arrays_zip(F.col("g").alias("term"), before.alias("before"))).alias("z"))
+    return opened.select(*carry, "z.term", (F.col("z.before").isNull() | (F.col("z.before") != F.col("z.term"))).alias("first"))
 
 
 def ngram_counts(docs: DataFrame, n: int, keep: Callable[[Column], Column] | None = None) -> DataFrame:

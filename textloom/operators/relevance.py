@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import edge_stopword
-from .corpus import ngrams
+from ..session import cut_lineage
+from .corpus import grams, ngrams
 
 
 def normal_terms(terms: Iterable[str | Sequence[str]]) -> list[tuple[str, ...]]:
@@ -28,17 +30,36 @@ def term_table(spark, terms: Iterable[str | Sequence[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, term array<string>")
 
 
-def terms_in_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(doc_id, term, ord)``: the terms of a list that each document contains.
+#: Term lists of up to so many terms are looked up within each document's row, longer ones by a join.
+LISTED_TERMS = 1000
 
-    The list is small by nature (it is a query); its size is the caller's to bound.
-    """
+
+def _listed(terms: DataFrame) -> dict[int, list[list[str]]] | None:
+    """Terms by length, None if they are more than ``LISTED_TERMS``."""
+    rows = terms.select("term").limit(LISTED_TERMS + 1).collect()
+    if len(rows) > LISTED_TERMS:
+        return None
+    by_length: dict[int, list[list[str]]] = {}
+    for r in rows:
+        if r.term:
+            by_length.setdefault(len(r.term), []).append(r.term)
+    return by_length
+
+
+def _held(by_length: dict[int, list[list[str]]]) -> Column:
+    """The terms that a document holds, each once."""
+    parts = [F.array_intersect(grams(n), F.array(*[F.array(*[F.lit(w) for w in t]) for t in found])) for n, found in sorted(by_length.items())]
+    return F.concat(*parts) if parts else F.array().cast("array<array<string>>")
+
+
+def terms_in_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(doc_id, term, ord)``: the terms of a list that each document contains."""
+    by_length = _listed(terms)
+    if by_length is not None:
+        return docs.select("doc_id", F.explode(_held(by_length)).alias("term")).join(terms.select("term", "ord"), "term").select("doc_id", "term", "ord")
     lengths = [r[0] for r in terms.select(F.size("term")).distinct().collect()]
-    found = None
-    for n in sorted(lengths):
-        part = ngrams(docs, n, None, True).join(terms.where(F.size("term") == n).select("term", "ord"), "term").select("doc_id", "term", "ord")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.select("doc_id").limit(0).crossJoin(terms.select("term", "ord").limit(0))
+    parts = [ngrams(docs, n, None, True).join(terms.where(F.size("term") == n).select("term", "ord"), "term").select("doc_id", "term", "ord") for n in sorted(lengths) if n > 0]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def core_counts(docs: DataFrame, core: DataFrame) -> DataFrame:
@@ -67,9 +88,13 @@ def baseline(docs: DataFrame, core: DataFrame, strict: bool = True) -> tuple[flo
 
 def cooccurrence_counts(docs: DataFrame, core: DataFrame, n: int, stopwords: Iterable[str] | None = None) -> DataFrame:
     """``(term, term_count, cooc_count)`` of the n-grams that share a document with a core term."""
-    flagged = terms_in_documents(docs, core).select("doc_id").distinct().withColumn("core", F.lit(True))
-    # documents meet the flag before their n-grams are opened
-    each = ngrams(docs.join(flagged, "doc_id", "left"), n, None, True, "core")
+    by_length = _listed(core)
+    # documents get the flag before their n-grams are opened
+    if by_length is not None:
+        flagged = docs.withColumn("core", F.when(F.size(_held(by_length)) > 0, True))
+    else:
+        flagged = docs.join(terms_in_documents(docs, core).select("doc_id").distinct().withColumn("core", F.lit(True)), "doc_id", "left")
+    each = ngrams(cut_lineage(flagged.select("doc_id", "tokens", "core")), n, None, True, "core")
     counts = each.groupBy("term").agg(F.count("*").alias("term_count"), F.count("core").alias("cooc_count")).where(F.col("cooc_count") > 0)
     counts = counts.join(core.select("term"), "term", "left_anti")
     return counts.where(~edge_stopword(F.col("term"), stopwords)) if stopwords is not None else counts
