@@ -65,6 +65,54 @@ def detected_languages(df: DataFrame, doc_id: str, text: str, common_words: Data
     return df.select(F.col(doc_id).alias("doc_id")).join(ranked, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("Unknown")).alias("language"), F.coalesce("k", F.lit(0)).alias("n_words"))
 
 
+#: Words of a language that its model keeps, most frequent first.
+MODEL_WORDS = 5000
+
+
+def letter_words(text: Column) -> Column:
+    """Lower-cased words of letters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}]+"), F.lit(0))
+
+
+def language_model(labelled: DataFrame, text: str, label: str, vocabulary: int = MODEL_WORDS) -> DataFrame:
+    """``(word, language, logp)``: a naive Bayes model of words from texts with a language label.
+
+    All labelled texts are counted; of each language the ``vocabulary`` most frequent words stay
+    (ties: the lesser word), and every word has a probability in every language, one
+    occurrence added. Rows with a null label are left out.
+    """
+    words = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("language"), F.explode(letter_words(F.col(text))).alias("word"))
+    counts = cut_lineage(words.groupBy("language", "word").agg(F.count("*").alias("k")))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(F.col("k").desc(), "word"))).where(F.col("r") <= vocabulary)
+    known = cut_lineage(ranked.select("word").distinct())
+    # one row, and one row a language
+    size = known.agg(F.count("*").alias("v"))
+    totals = counts.join(known, "word", "left_semi").groupBy("language").agg(F.sum("k").alias("total")).crossJoin(F.broadcast(size))
+    # words by languages: at most languages * vocabulary words
+    cells = known.crossJoin(F.broadcast(totals)).join(counts, ["word", "language"], "left")
+    return cells.select("word", "language", F.ln((F.coalesce("k", F.lit(0)) + 1) / (F.col("total") + F.col("v"))).alias("logp"))
+
+
+def classified_languages(df: DataFrame, doc_id: str, text: str, model: DataFrame) -> DataFrame:
+    """``(doc_id, language, n_words, margin)``: the most probable language of each text by a ``language_model``.
+
+    ``n_words`` counts the words that the model knows and ``margin`` is the mean advantage a word
+    over the second language (0 with one language). Texts without a known word are ``Unknown``;
+    equal probabilities are decided by the lesser name.
+    """
+    # a bounded table: languages * vocabulary words at most
+    by_word = F.broadcast(model.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("language", "logp"))).alias("m")))
+    words = df.select(F.col(doc_id).alias("doc_id"), F.explode(letter_words(F.col(text))).alias("word"))
+    known = words.groupBy("doc_id", "word").agg(F.count("*").alias("k")).join(by_word, "word")
+    scores = known.select("doc_id", "k", F.explode("m").alias("m")).groupBy("doc_id", F.col("m.language").alias("language")).agg(F.sum(F.col("k") * F.col("m.logp")).alias("score"), F.sum("k").alias("n_words"))
+    # a row a language
+    order = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), "language")
+    best = scores.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).where(F.col("r") == 1)
+    margin = F.coalesce((F.col("score") - F.col("second")) / F.col("n_words"), F.lit(0.0))
+    found = best.select("doc_id", "language", "n_words", margin.alias("margin"))
+    return df.select(F.col(doc_id).alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("language", F.lit("Unknown")).alias("language"), F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
+
+
 def with_languages(df: DataFrame, doc_id: str, detected: DataFrame, languages: Iterable[str], keep: bool = True) -> DataFrame:
     """Documents in one of the languages, or all others; joined by key."""
     chosen = detected.where(F.col("language").isin(list(languages))).select(F.col("doc_id").alias(doc_id))

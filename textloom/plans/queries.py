@@ -401,6 +401,24 @@ def filter_detected_languages(spark, folder):
     return filters.detected_languages(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
 
 
+_LANGUAGE_MODEL = """labelled as (select lower(trim(lang)) as language, text from documents where lower(trim(lang)) in ('de', 'en', 'fr', 'tr', 'es', 'nl')),
+  counts as (select language, word, count(*) as k from labelled, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) as u(word) group by all),
+  known as (select distinct word from (select *, row_number() over (partition by language order by k desc, word) as r from counts) where r <= 5000),
+  totals as (select language, sum(k) as total from counts semi join known using (word) group by language),
+  model as (select w.word, t.language, ln((coalesce(k, 0) + 1) / (total + (select count(*) from known))) as logp from known w cross join totals t left join counts c on c.word = w.word and c.language = t.language)"""
+
+
+@query(f"""with {_LATEST}, {_LANGUAGE_MODEL}, words as (select id, word, count(*) as k from latest, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) as u(word) group by all),
+  scores as (select id, language, sum(k * logp) as score, sum(k)::bigint as n_words from words join model using (word) group by all),
+  ranked as (select *, row_number() over w as r, lead(score) over w as second from scores window w as (partition by id order by round(score, 6) desc, language))
+  select l.id as doc_id, coalesce(language, 'Unknown') as language, coalesce(n_words, 0) as n_words, round(coalesce((score - second) / n_words, 0), 6) as margin from latest l left join (select * from ranked where r = 1) using (id)""")
+def filter_classified_languages(spark, folder):
+    label = F.lower(F.trim("lang"))
+    labelled = table(spark, folder, "documents").select("text", F.when(label.isin("de", "en", "fr", "tr", "es", "nl"), label).alias("language"))
+    model = cut_lineage(filters.language_model(labelled, "text", "language"))
+    return _rounded(filters.classified_languages(articles(spark, folder, "text"), "id", "text", model), "margin")
+
+
 @query(f"with {_DETECTED} select doc_id from documents where doc_id not in (select doc_id from detected where language in ('de', 'en'))")
 def filter_languages(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
