@@ -251,3 +251,30 @@ def test_blocks():
     assert [b.path for b in found][:2] == ["table/tr/td:0", "table/tr/td:1"]
     assert blocks(None) == [] and blocks("<script>if (a<b) {}</script>") == []
     assert block_key(" A-b_c 1ä!") == "Abc1ä"
+
+
+@pytest.mark.parametrize("titled", [True, False])
+def test_pages_without_article_have_no_rows(spark, titled):
+    rnd = random.Random(11)
+    pages, bodies = [], []
+    for k in range(40):
+        title = "Titel " + _words(rnd, 5)
+        body = [_words(rnd, 18) + ". " + _words(rnd, 18) + ". " + _words(rnd, 9) + "." for _ in range(4)]
+        head = f"<title>{title} | Blatt</title>" if titled else ""
+        bodies.append({block_key(title), *map(block_key, body)})
+        pages.append(f"{head}<body><div class=main><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in body) + "</div></body>")
+    for k in range(8):
+        teasers = "".join(f"<p>{_words(rnd, 9)}.</p>" for _ in range(6))
+        pages.append(("<title>Archiv | Blatt</title>" if titled else "") + f"<body><div class=main><h3>Mehr zum Thema</h3>{teasers}</div></body>")
+    got = _site(spark, pages)
+    assert set(got) == set(range(40))
+    assert all(got[k] == bodies[k] for k in range(40))
+
+
+def test_paths_bent_by_broken_markup_go_with_their_neighbours(spark):
+    rnd = random.Random(14)
+    bodies = [[_words(rnd, 20) + ". " + _words(rnd, 20) + ". Ende." for _ in range(3)] for _ in range(60)]
+    # an unclosed container before the article on a few pages puts all paths one level deeper
+    pages = [("<section class=x>" if k in (7, 8) else "") + "<div class=m>" + "".join(f"<p>{p}</p>" for p in body) + "</div>" for k, body in enumerate(bodies)]
+    got = _site(spark, pages)
+    assert all({block_key(p) for p in body} == got[k] for k, body in enumerate(bodies))
