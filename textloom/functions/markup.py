@@ -30,8 +30,13 @@ def meta_map(markup: Column, labels: list[str] | None = None) -> Column:
     tags = F.regexp_extract_all(F.coalesce(markup, F.lit("")), F.lit(_META), F.lit(0))
     entries = F.transform(tags, lambda t: F.struct(F.coalesce(_attribute(t, "name"), _attribute(t, "property")).alias("key"), _attribute(t, "content").alias("value")))
     entries = F.filter(entries, lambda e: e["key"].isNotNull() & (e["key"].isin(labels) if labels is not None else F.lit(True)))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+
+    def last_of_each(found: Column) -> Column:
+        later = lambda i: F.slice(found, i + 2, F.greatest(F.size(found), F.lit(1)))
+        return F.map_from_entries(F.filter(found, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"])))
+
+    # as the variable of a function the entries are found once, not once an entry
+    return F.get(F.transform(F.array(entries), last_of_each), F.lit(0))
 
 
 def first_element_text(markup: Column, name: str) -> Column:
