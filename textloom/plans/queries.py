@@ -144,6 +144,13 @@ def sink_table_round_trip(spark, folder):
     return readers.read_table(spark, path).select("id", "url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "text")])
 
 
+@query(f"with {_LATEST} select id, url from latest where not coalesce(regexp_matches(url, 'seite-[0-9]+|tagesecho|\\.example:[0-9]+'), false)")
+def source_patterns(spark, folder):
+    path = scratch_path(spark)
+    spark.createDataFrame([("seite-[0-9]+\ntagesecho\n\n\\.example:[0-9]+",)], "value string").write.text(path)
+    return articles(spark, folder, "url").where(urls.is_relevant(F.col("url"), [readers.read_patterns(spark, path)])).select("id", "url")
+
+
 @query("select custom_id, result_type, case when result_type = 'succeeded' then topic_ai end as topic_ai, case when result_type = 'succeeded' then input_tokens end as input_tokens from llm_results")
 def source_batch_results(spark, folder):
     path = scratch_path(spark)
@@ -435,6 +442,13 @@ _LEXICON = f"""{_LATEST}, pairs as (select token[i] as word, lemmas[i] as lemma
   lexicon as (select word, lemma from (select word, lemma, count(*) as k from pairs where word is not null and lemma is not null group by all) qualify row_number() over (partition by word order by k desc, lemma) = 1)"""
 
 
+@query(f"""with {_LATEST}, named as (select id, id || case when len(url) % 3 = 0 then '_deduped.json' else '.json' end as file, text from latest)
+  select id, file from named where len(text) >= 500 or contains(file, 'deduped')""")
+def filter_custom_files(spark, folder):
+    rows = articles(spark, folder, "url", "text").withColumn("file", F.concat("id", F.when(F.length("url") % 3 == 0, F.lit("_deduped.json")).otherwise(F.lit(".json"))))
+    return filters.apply_removal(rows, F.length("text") >= 500, "file").select("id", "file")
+
+
 @query(f"with {_LEXICON} select word, lemma from lexicon")
 def filter_lexicon(spark, folder):
     return filters.lexicon(articles(spark, folder, "token", "lemmas"), "token", "lemmas")
@@ -1102,6 +1116,24 @@ def model_batch_records(spark, folder):
     return made.select("custom_id", F.get_json_object("request", "$.params.model").alias("model"), F.get_json_object("request", "$.params.messages[0].content").alias("content"))
 
 
+@query(f"""with {_LATEST} select id as custom_id, 'POST' as method, 'judge-2' as model, 'You judge the topic of articles.' as system,
+  'Article:' || chr(10) || coalesce(text, '') || chr(10) || 'Is it about AI?' as content, 'topic_ai' as required from latest where id not in (select custom_id from llm_results)""")
+def model_chat_records(spark, folder):
+    form = annotation.response_format("TopicAI", {"topic_ai": bool})
+    made = annotation.chat_records(articles(spark, folder, "text"), "id", _PROMPT, F.col("text"), "judge-2", form, table(spark, folder, "llm_results"))
+    parts = {"method": "$.method", "model": "$.body.model", "system": "$.body.messages[0].content", "content": "$.body.messages[1].content", "required": "$.body.response_format.json_schema.schema.required[0]"}
+    return made.select("custom_id", *[F.get_json_object("request", path).alias(name) for name, path in parts.items()])
+
+
+@query(f"""with {_LATEST}, m as (select id, unnest(['h1', 'h2', 'url']) as key, unnest([h1, h2, url]) as value from latest)
+  select id, 'kept' as kind, key, value from m where key in ('h1', 'url') union all select id, 'removed', key, value from m where key = 'h2'""")
+def model_keys(spark, folder):
+    rows = articles(spark, folder, "h1", "h2", "url").withColumn("m", F.create_map(*[x for c in ("h1", "h2", "url") for x in (F.lit(c), F.col(c))]))
+    chosen = {"kept": annotation.kept_keys(F.col("m"), ["h1", "url", "none"]), "removed": annotation.removed_keys(F.col("m"), ["h1", "url"])}
+    parts = [rows.select("id", F.lit(kind).alias("kind"), F.explode(found).alias("key", "value")) for kind, found in chosen.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""with {_LATEST}, o as (select id, coalesce(lag(og_title) over w, '') as a, coalesce(lead(og_title) over w, '') as b, coalesce(og_title, '') as t from latest window w as (partition by source order by id))
   select id, 'Before: ' || a || ' Title: ' || t || ' After: ' || b as prompt from o""")
 def model_neighbour_prompts(spark, folder):
