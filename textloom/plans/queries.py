@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import association, markup
+from ..functions import association, markup, searchterms
 from ..functions import words as fw
 from ..operators import annotation, cleaning, cooccurrence, corpus, deduplication, evaluation, filters, keyness, rating, relevance, retrieval, urls, wordlists
 from ..session import cut_lineage, scratch_path, table
@@ -847,6 +847,31 @@ def find_regex_pmw(spark, folder):
     return _rounded(_matches(found, "n_hits", "doc_len", "pmw"), "pmw")
 
 
+_SUBJECTIVE = retrieval.alternation(searchterms.SUBJECTIVE_1, escape=False)
+
+
+@query(f"""with {_DOCS}, h as (select doc_id, list_transform(regexp_extract_all({_ENCODED}, '{_SUBJECTIVE}'), lambda m: trim(regexp_replace(m, '__+', ' ', 'g'))) as m from docs)
+  select doc_id, array_to_string(m, '|') as matches, len(m) as n_hits from h where len(m) >= 1""")
+def find_subjective(spark, folder):
+    return _matches(retrieval.match_wordlist(words(spark, folder), searchterms.SUBJECTIVE_1, 1, escape=False), "n_hits")
+
+
+# the free spacing taken out; the other engine has none
+_TOPIC = "(?i)" + "".join(line.strip() for line in searchterms.KI_REGEX_LLM.splitlines()[1:])
+
+
+@query(f"""with {_DOCS}, h as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_TOPIC}') as m from docs)
+  select doc_id, array_to_string(m, '|') as matches, len(m) as n_hits from h where len(m) >= 1""")
+def find_topic_regex(spark, folder):
+    return _matches(retrieval.match_regex(words(spark, folder, "text"), searchterms.KI_REGEX_LLM, "text", 1), "n_hits")
+
+
+@query(f"""with {_LATEST} select id, regexp_matches(coalesce(text, ''), '(?s)Roboter\\b.*?\\bModell\\b') as found from latest""".replace("Roboter", "\\bRoboter"))
+def find_term_pattern(spark, folder):
+    pattern = fw.java_flags(fw.term_pattern(["Roboter", "Modell"])).replace("(?", "(?s", 1)
+    return articles(spark, folder, "text").select("id", F.coalesce("text", F.lit("")).rlike(pattern).alias("found"))
+
+
 @query(f"""with {_HITS}, w as (select doc_id, any_value(list_sort(list_distinct(matches))) as matches, sum(weight) as weight from (select doc_id, matches, unnest(matches) as m from hits) x join (select array_to_string(term, ' ') as m, weight from wordlist) using (m) group by doc_id)
   select doc_id, array_to_string(matches, '|') as matches, round(weight, 6) as weight from w where round(weight, 6) >= 2.5""")
 def find_weighted(spark, folder):
