@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import logging
 import os
 import shutil
 import tempfile
@@ -53,13 +52,17 @@ _written: dict[str, list[str]] = {}
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder; ``release`` removes what is written there."""
+    """A new path in the shared folder; what is written there is removed by ``release``, or when the driver's JVM ends."""
     sc = spark.sparkContext
+    folder = f"{shared_folder(spark).rstrip('/')}/textloom-{sc.applicationId}"
     written = _written.get(sc.applicationId)
     if written is None:
         written = _written[sc.applicationId] = []
-        atexit.register(release, spark)
-    path = f"{shared_folder(spark).rstrip('/')}/textloom-{sc.applicationId}/{uuid.uuid4().hex}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    path = f"{folder}/{uuid.uuid4().hex}"
     written.append(path)
     return path
 
@@ -68,8 +71,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder of the session and read it from there.
 
     The table is compressed, columns that a reader leaves out are not read, and its size is
-    known to the plans that read it. ``release`` removes what a session has written; it runs
-    when Python ends, too.
+    known to the plans that read it.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
@@ -85,15 +87,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Remove the tables that ``cut_lineage`` wrote; results not yet read are lost."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written.pop(spark.sparkContext.applicationId, []):
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-    except Exception as error:  # the session may be gone already
-        logging.getLogger(__name__).warning("written tables were not removed: %s", error)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
 
 def latest_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
