@@ -74,15 +74,17 @@ def p4_consensus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_annotators(spark: SparkSession, folder: str) -> DataFrame:
-    return _agreed(spark, folder)[2]
+    return _agreed(spark, folder)[2].withColumns({"reliability": F.round("reliability", 6), "weight": F.round("weight", 1)})
 
 
 def p4_bound_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[0].withColumnRenamed("item", "id")
+    agreed, _ = consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)
+    return agreed.select(F.col("item").alias("id"), "label", "n_votes", F.round("agreement", 6).alias("agreement"))
 
 
 def p4_bound_annotators(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)[1]
+    _, people = consensus.truth_discovery(_votes(spark, folder)[1], ordered=True)
+    return people.withColumns({"reliability": F.round("reliability", 6), "weight": F.round("weight", 2)})
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,6 +167,11 @@ def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return structure.text_structure(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words"))
 
 
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = p5_statistics(spark, folder).withColumn("mean_word_length", F.round("mean_word_length", 6))
+    return counted.select("doc_id", "n_chars", "n_words", "n_lines", "mean_word_length")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     kinds = p5_statistics(spark, folder)
     return kinds.where((F.col("kind") != "prose") & (F.col("n_chars") >= structure.CASE_CHARS)).select("doc_id", "kind")
@@ -207,6 +214,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
+    "p5_counts": p5_counts,
     "p2_found": p2_found,
     "p2_languages": p2_languages,
     "p6_found": p6_found,

@@ -89,7 +89,81 @@ normal as (
 )
 """
 
+
+def _given_votes() -> list[str]:
+    voters = ("expert_annotator_1", "expert_annotator_2", "student_annotator_1", "student_annotator_2")
+    given = " union all ".join(f"select id as item, '{c}' as who, try_cast(regexp_extract(trim({c}, ' ' || chr(160) || chr(9) || chr(10)), '^([123])_', 1) as int) as r from rated" for c in voters)
+    return [
+        "rated as (select * from ratings where id is not null qualify row_number() over (partition by id order by ingested_at desc nulls last) = 1)",
+        f"v as materialized (select * from ({given}) where r is not null)",
+        "counted as materialized (select item, count(*) as n from v group by item)",
+        "c as (select distinct item, r as t from v)",
+    ]
+
+
+def _log_odds_rounds(rounds: int) -> str:
+    """Rounds with soft consensus: probabilities ``p``, and weights of votes below and above (``over``, ``under``)."""
+
+    def weight(n: str, d: str) -> str:
+        lower = f"greatest(0, {n} * power(1 - 2 / (9.0 * {n}) - 1.959963984540054 * sqrt(2 / (9.0 * {n})), 3))"
+        error = f"least(1 / greatest({lower} / ({d} + 0.5), 1e-9), 2 / 3.0)"
+        return f"greatest(ln((1 - {error}) * 2 / {error}), 1e-6)"
+
+    steps = [
+        *_given_votes(),
+        "cells as materialized (select v.item, who, r, t from v, (select unnest([1, 2, 3]) as t))",
+        "w0 as (select distinct who, 1.0::double as over, 1.0::double as under from v)",
+    ]
+    cost = "case when r < t then over when r > t then under else 0 end"
+    for k in range(rounds):
+        steps += [
+            f"s{k} as materialized (select item, t, sum({cost}) as score from cells join w{k} using (who) group by item, t)",
+            f"p{k} as materialized (select item, t, exp(least - score) / sum(exp(least - score)) over (partition by item) as p from (select *, min(score) over (partition by item) as least from s{k}))",
+            f"""x{k} as materialized (select who, sum(p) filter (where t > 1) as no, coalesce(sum(p) filter (where r < t), 0) as do_, sum(p) filter (where t < 3) as nu, coalesce(sum(p) filter (where r > t), 0) as du
+              from cells join p{k} using (item, t) group by who)""",
+            f"w{k + 1} as materialized (select who, {weight('no', 'do_')} as over, {weight('nu', 'du')} as under from x{k})",
+        ]
+    steps += [
+        f"final as (select item, t, sum({cost}) as score, sum((over + under) / 2) as whole from cells join w{rounds} using (who) group by item, t)",
+        "chosen as materialized (select item, min(t) as t from (select *, min(score) over (partition by item) as least from final join c using (item, t)) where score <= least + 1e-9 * whole group by item)",
+    ]
+    return ", ".join(steps)
+
+
+def _bound_rounds(rounds: int) -> str:
+    """Rounds of confidence-aware truth discovery one by one: costs ``e``, distances ``d``, weights ``w``."""
+    steps = [
+        *_given_votes(),
+        "cells as materialized (select v.item, who, r, t, n, abs(r - t) as d from v join c using (item) join counted using (item))",
+        "w0 as (select distinct who, 1.0::double as w from v)",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"e{k} as materialized (select cells.*, w * d as cost, sum(w * d) over (partition by item, t) as score, sum(w) over (partition by item, t) as whole from cells join w{k} using (who))",
+            f"d{k} as materialized (select item, who, avg(d) as d from (select *, min(score - cost) over (partition by item, who) as least from e{k} where n > 1) where score - cost <= least + 1e-9 * whole group by item, who)",
+            f"x{k} as (select who, count(*) as n, sum(d) as d from d{k} group by who)",
+            f"""w{k + 1} as materialized (select who, greatest(raw / max(raw) over (), 1e-6) as w from (
+              select who, n * power(1 - 2 / (9.0 * n) - 1.959963984540054 * sqrt(2 / (9.0 * n)), 3) / (d + 0.5) as raw from x{k}))""",
+        ]
+    steps += [
+        f"final as (select item, t, sum(w * d) as score, sum(w) as whole from cells join w{rounds} using (who) group by item, t)",
+        "chosen as materialized (select item, min(t) as t from (select *, min(score) over (partition by item) as least from final) where score <= least + 1e-9 * whole group by item)",
+    ]
+    return ", ".join(steps)
+
+
+_ROUNDS = 40
+
 ORACLE = {
+    "p4_found": f"""with {_log_odds_rounds(_ROUNDS)}, gold as (select id as item, try_cast(regexp_extract(trim(gold_label, ' ' || chr(160) || chr(9) || chr(10)), '^([123])_', 1) as int) as g from rated)
+        select item as id, ['1_hauptthema', '2_nebenthema', '3_kein_thema'][t] as label from chosen join counted using (item) join gold using (item) where n >= 3 and g is distinct from t""",
+    "p4_annotators": f"""with {_log_odds_rounds(_ROUNDS)} select who as annotator, count(*) as n_votes, round(avg((r = t)::int), 6) as reliability, round(any_value((over + under) / 2), 1) as weight
+        from v join chosen using (item) join w{_ROUNDS} using (who) group by who""",
+    "p4_bound_consensus": f"""with {_bound_rounds(_ROUNDS)}, pairs as (select item, sum(k * (k - 1)) as same from (select item, r, count(*) as k from v group by item, r) group by item)
+        select item as id, ['1_hauptthema', '2_nebenthema', '3_kein_thema'][t] as label, n::int as n_votes, round(case when n < 2 then 1.0 else same / (n * (n - 1)) end, 6) as agreement
+        from chosen join counted using (item) join pairs using (item)""",
+    "p4_bound_annotators": f"""with {_bound_rounds(_ROUNDS)} select who as annotator, count(*) as n_votes, round(avg((r = t)::int), 6) as reliability, round(any_value(w), 2) as weight
+        from v join chosen using (item) join w{_ROUNDS} using (who) group by who""",
     "p10_classes": f"""with {_CLASS_WINDOWS}, members as (select doc_id, coalesce(doc, doc_id) as class from normal left join classes using (t)),
         linked as (select a.doc, count(distinct b.doc) as n from (select distinct doc, h from shared) a join (select distinct doc, h from shared) b on a.h = b.h and a.doc <> b.doc group by a.doc)
         select doc_id, class, count(*) over (partition by class) as n_copies, coalesce(n, 0) as n_links from members left join linked on doc = class""",
@@ -144,6 +218,9 @@ ORACLE = {
     "p7_found": f"with {_PAIRS} select term_a, term_b from passing",
     "p7_pairs": f"with {_PAIRS} select term_a, term_b, n_a, n_b, n_ab, round(lift, 6) as lift from passing",
     "p8_found": f"select doc_id from documents where {_TOKENS} > 1024",
+    "p5_counts": rf"""with plain as (select doc_id, coalesce(text, '') as t from documents),
+        split as (select doc_id, t, list_filter(regexp_split_to_array(t, '[{_WS}\x{{1c}}-\x{{1f}}]+'), lambda x: x <> '') as words, list_filter(regexp_split_to_array(t, '\r\n|[\n\r\v\f\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[^{_WS}\x{{1c}}-\x{{1f}}]')) as lines from plain)
+        select doc_id, length(t) as n_chars, len(words) as n_words, len(lines) as n_lines, round(case when len(words) > 0 then list_sum(list_transform(words, lambda w: length(w))) / len(words) else 0 end, 6) as mean_word_length from split""",
     "p8_parts": f"""with sized as (select doc_id, {_TOKENS} as n from documents), parts as (select doc_id, n, ceil(n / 1024)::int as n_parts, unnest(range(0, ceil(n / 1024)::bigint)) as part from sized where n > 0)
         select doc_id, part::int as part, n_parts, part * 1024 as start, least(1024, n - part * 1024) as length from parts""",
     "p9_targets": f"""with sized as (select lower(trim(source)) as source, {_TOKENS} as n from documents),
