@@ -102,16 +102,23 @@ def _symbols(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, starts, sizes
 
 
+def _open_neighbours(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of short symbols with a short one behind them."""
+    open_ = (sizes < SYMBOL_CHARS) & (symbols != 0)
+    return np.flatnonzero(open_[:-1] & open_[1:])
+
+
 def recompress(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rounds of block and pair compression; symbol 0 is never joined."""
     for number in range(rounds):
-        open_ = (sizes < SYMBOL_CHARS) & (symbols != 0)
-        if len(symbols) < 2:
+        near = _open_neighbours(symbols, sizes)
+        if not len(near):
             break
         # blocks: short runs of one symbol
-        new = np.ones(len(symbols), dtype=bool)
-        new[1:] = ~(open_[1:] & open_[:-1] & (symbols[1:] == symbols[:-1]))
-        if not new.all():
+        same = near[symbols[near] == symbols[near + 1]]
+        if len(same):
+            new = np.ones(len(symbols), dtype=bool)
+            new[same + 1] = False
             at = np.flatnonzero(new)
             times = np.diff(np.append(at, len(symbols)))
             whole = np.add.reduceat(sizes, at)
@@ -121,13 +128,12 @@ def recompress(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, round
             whole = np.add.reduceat(sizes, at)
             symbols = np.where(times > 1, _pair(symbols[at], times ^ np.uint64(0xA5A5A5A5)), symbols[at])
             starts, sizes = starts[at], whole
-            open_ = (sizes < SYMBOL_CHARS) & (symbols != 0)
+            near = _open_neighbours(symbols, sizes)
         # pairs: a left symbol and the right one behind it
         turn = np.uint64((number * 2 + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        side = (_mix(symbols + turn) >> np.uint64(63)).astype(bool)
-        joins = np.zeros(len(symbols), dtype=bool)
-        joins[:-1] = open_[:-1] & open_[1:] & ~side[:-1] & side[1:]
-        at = np.flatnonzero(joins)
+        left = ~(_mix(symbols[near] + turn) >> np.uint64(63)).astype(bool)
+        at = near[left]
+        at = at[(_mix(symbols[at + 1] + turn) >> np.uint64(63)).astype(bool)]
         if not len(at):
             continue
         symbols, sizes = symbols.copy(), sizes.copy()
