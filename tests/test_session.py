@@ -37,3 +37,11 @@ def test_numbers_are_consecutive(spark):
     df = spark.createDataFrame([(f"k{n:03}", n) for n in range(300)], "k string, n int").repartition(7)
     assert all(r.number == r.n for r in session.numbered(df, "number", "k").collect())
     assert session.numbered(df.limit(0), "number", "k").count() == 0
+
+
+def test_discarded_tables_are_removed_and_others_stay(spark):
+    a, b = session.cut_lineage(spark.range(3)), session.cut_lineage(spark.range(4))
+    (path,) = {os.path.dirname(f.replace("file://", "").replace("file:", "")) for f in a.inputFiles()}
+    c = session.cut_lineage(a.join(b, "id"))
+    session.discard(a, spark.range(2))
+    assert not os.path.exists(path) and c.count() == 3 and b.count() == 4

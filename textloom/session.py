@@ -85,6 +85,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return back.select(*[F.lit(None).alias(c) if b else F.col(n).alias(c) for n, c, b in zip(names, df.columns, bare)])
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut_lineage`` wrote and nothing reads any more.
+
+    What was written from them stays, so a lost executor does not need them.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        written = _written.get(spark.sparkContext.applicationId, [])
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()}
+        for path in [p for p in written if p.rsplit("/", 1)[-1] in folders]:
+            written.remove(path)
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables that ``cut_lineage`` wrote; results not yet read are lost."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
