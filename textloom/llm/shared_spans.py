@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 
 LENGTH = 200
 #: Symbols of so many characters are not compressed further.
@@ -433,6 +433,7 @@ def candidates(documents: DataFrame, key: str, text: str, length: int = LENGTH)
     wanted = several.groupBy(F.col("class").alias("doc")).agg(F.collect_set("span_key").alias("keys"))
     found = texts.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(_normal_texts, f"doc {kind}, text string, keys array<bigint>")
     found = cut_lineage(found)
+    discard(named, shared)
     windows = cut_lineage(found.mapInArrow(_near_windows(length), _WINDOWS.format(kind=kind)))
     return Candidates(found, windows, classes, length, kind)
 
