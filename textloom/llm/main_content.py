@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 from .html_blocks import block_key, blocks, sentence_ends
 
 #: A path is content if its fused ratio is at least this share of the site's best.
@@ -257,6 +257,7 @@ def article_content(
     """
     nodes = cut_lineage(page_blocks(pages.where(F.col(page).isNotNull()), page, site, address, html))
     article = cut_lineage(article_blocks(nodes, content_share))
+    discard(nodes)
     lines = line_blocks(texts.where(F.col(page).isNotNull()), page, text).distinct().join(article, ["page", "block_key"], "left_semi")
     both = article.select("page", F.lit(html).alias("src_field"), "block_key").unionByName(lines.select("page", F.lit(text).alias("src_field"), "block_key"))
     return both.withColumnRenamed("page", page)
