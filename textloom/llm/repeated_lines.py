@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
 
 SUPPORT = 5
 
@@ -79,6 +79,8 @@ def frequent_sequences(documents: DataFrame, key: str, site: str, text: str, sup
         rows = keyed.withColumn("row", F.struct("doc", F.xxhash64("site", "lines"), F.hash("lines", "site")))
     placed = rows.select("doc", "row", "site", F.posexplode("lines").alias("pos", "line")).select("doc", "row", "pos", *_name(F.col("site"), F.col("line")))
     placed = cut_lineage(placed.join(single.select(*_ID), _ID).distinct())
+    discard(keyed)
+    before = None
     grown = placed.select("doc", "row", F.col("pos").alias("last"), *_ID)
     while True:
         # the first line of each projected suffix
@@ -88,6 +90,9 @@ def frequent_sequences(documents: DataFrame, key: str, site: str, text: str, sup
             *_name(F.col("id_a"), F.col("id_b"), F.col("next_a"), F.col("next_b")),
         )
         longer = cut_lineage(longer)
+        if before is not None:
+            discard(before)
+        before = longer
         parts = ["head_a", "head_b", "next_a", "next_b"]
         counted = longer.select(*_ID, *parts, "doc").distinct().groupBy(*_ID, *parts).agg(F.count("*").alias("n_documents")).where(F.col("n_documents") >= support)
         heads = level.select(F.col("id_a").alias("head_a"), F.col("id_b").alias("head_b"), "site", F.col("lines").alias("head"))
@@ -95,6 +100,7 @@ def frequent_sequences(documents: DataFrame, key: str, site: str, text: str, sup
         level = counted.join(heads, ["head_a", "head_b"]).join(nexts, ["next_a", "next_b"])
         level = cut_lineage(level.select(*_ID, "site", F.concat("head", F.array("line")).alias("lines"), "n_documents"))
         if level.isEmpty():
+            discard(placed, longer, level)
             break
         found = found.unionByName(level)
         grown = longer.select("doc", "row", "last", *_ID).join(level.select(*_ID), _ID, "left_semi")
