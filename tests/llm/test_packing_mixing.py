@@ -111,3 +111,59 @@ def test_topics(spark):
     assert len({got[k] for k in range(3)}) == 3 and all(got[k] == got[k % 3] for k in range(90))
     assert got[100] == got[101] == got[102] == -1
     assert with_topics(df, "text", fit_topics(df.limit(0), "doc", "text")).where("topic >= 0").count() == 0
+
+
+def _themes(documents, fill=""):
+    rnd = random.Random(5)
+    words = {k: [f"{stem}{x}" for x in "abcdefghijklmnopqrst"] for k, stem in enumerate(("wetter", "sport", "technik", "garten"))}
+    return [(k, fill + " ".join(rnd.choice(words[theme]) for _ in range(30)), theme) for k, theme in documents]
+
+
+def test_topics_of_all_documents(spark):
+    from pyspark.sql import functions as F
+
+    # the documents of the last theme have the greatest key hashes
+    hashed = [r.id for r in spark.range(2600).orderBy(F.xxhash64("id")).collect()]
+    rows = _themes([(k, 3 if n >= 2100 else n % 3) for n, k in enumerate(hashed)])
+    df = spark.createDataFrame(rows, "doc long, text string, theme int")
+    found = with_topics(df, "text", fit_topics(df, "doc", "text", 4)).groupBy("theme", "topic").count().collect()
+    assert len(found) == 4 and {r.topic for r in found} == {0, 1, 2, 3}
+
+
+def test_topics_of_all_words(spark):
+    # 320 words that every document has more often than any of its own words
+    fill = "".join(f"wort{a}{b} " for a in "abcdefghijklmnop" for b in "abcdefghijklmnopqrst") * 31
+    df = spark.createDataFrame(_themes([(k, k % 4) for k in range(120)], fill), "doc long, text string, theme int")
+    found = with_topics(df, "text", fit_topics(df, "doc", "text", 4)).groupBy("theme", "topic").count().collect()
+    assert len(found) == 4 and {r.topic for r in found} == {0, 1, 2, 3}
+
+
+def test_topics_equal_the_dense_computation(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from textloom.llm.topics import ROUNDS
+
+    rnd = random.Random(6)
+    pool = ["wort" + "".join(rnd.choice("abcdeä") for _ in range(3)) for _ in range(120)]
+    docs = [(k, " ".join(rnd.choice(pool[(k % 5) * 20 :][:40]) for _ in range(rnd.randint(0, 60))) + " Ab1x x_y das") for k in range(400)] + [(None, "wort wort"), (900, None)]
+    df = spark.createDataFrame(docs, "doc long, text string")
+    texts = [(r.h, r.text) for r in df.where("doc is not null and text is not null").select(F.xxhash64("doc").alias("h"), "text").collect()]
+    counts = [(h, Counter(regex.findall(r"\p{L}{4,}", t.lower()))) for h, t in texts]
+    spread = Counter(w for _, c in counts for w in c)
+    words = sorted((w for w, n in spread.items() if 2 <= n <= 0.3 * len(texts)), key=lambda w: (-spread[w], w))
+    idf = np.log(len(texts) / np.array([spread[w] for w in words]))
+    points = np.array([[np.log1p(c[w]) for w in words] * idf for _, c in sorted(counts, key=lambda x: x[0])])
+    points = points[points.any(axis=1)]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    centres = points[[(points @ points.mean(axis=0)).argmax()]]
+    while len(centres) < 6:
+        centres = np.vstack([centres, points[(points @ centres.T).max(axis=1).argmin()]])
+    for _ in range(ROUNDS):
+        own = (points @ centres.T).argmax(axis=1)
+        centres = np.array([points[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(6)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    one, many = (fit_topics(df.repartition(n), "doc", "text", 6) for n in (1, 7))
+    assert list(one.vocabulary.numbers) == words == list(many.vocabulary.numbers)
+    assert (one.centres == many.centres).all()
+    assert np.abs(one.centres / (1 << 24) - centres).max() < 1e-4

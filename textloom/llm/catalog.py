@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, latest_rows, table
+from ..session import cut_lineage, discard, latest_rows, table
 from . import consensus, cooccurrence, frequency, language_id, main_content, mixing, packing, repeated_lines, shared_spans, structure, topics
 from .sql import ORACLE
 from .tokens import n_tokens
@@ -108,10 +108,13 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents")
     rows = documents.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), "text")
-    named = topics.with_topics(rows, "text", topics.fit_topics(documents, "doc_id", "text"))
-    found = language_id.identify_languages(named, "doc_id", "text", _dictionaries(spark, folder), carry=("source", "n_tokens", "topic"))
-    main = found.where(F.col("seg_no") == -1).select("doc_id", "source", "n_tokens", F.col("lang").alias("language"), "topic")
-    return mixing.mix(cut_lineage(main), table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens", "language", "topic")
+    vocabulary = topics.fit_vocabulary(documents, "doc_id", "text")
+    found = language_id.identify_languages(topics.with_vectors(rows, "text", vocabulary), "doc_id", "text", _dictionaries(spark, folder), carry=("source", "n_tokens", "vector"))
+    main = cut_lineage(found.where(F.col("seg_no") == -1).select("doc_id", "source", "n_tokens", F.col("lang").alias("language"), "vector"))
+    centres = topics.fit_centres(main, "doc_id", "vector", len(vocabulary.idf))
+    named = cut_lineage(topics.with_nearest(main, "vector", centres).drop("vector"))
+    discard(main)
+    return mixing.mix(named, table(spark, folder, "mix_targets"), "doc_id", "source", "n_tokens", "language", "topic")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
