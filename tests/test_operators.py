@@ -173,6 +173,21 @@ def test_byte_pairs_in_one_task_and_in_rounds(spark):
         assert merges == want and {tuple(r.symbols): r.n for r in state.collect()} == strings
 
 
+def test_byte_pairs_of_many_strings_take_few_jobs(spark):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("bdgklmnr") + rnd.choice("aeiou") for _ in range(3)) + f"-{i:05}" + "?ref=rss" * (i % 9 == 0) for i in range(3000)]
+    df = spark.createDataFrame([(w,) for w in words + words[:50]], "w string").repartition(6)
+    one, want = urls.byte_pairs(df, "w", 200)
+    spark.sparkContext.setJobGroup("pairs", "byte pairs in rounds")
+    try:
+        state, merges = urls.byte_pairs(df, "w", 200, 8000)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("pairs")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert merges == want and len(want) == 200 and len(jobs) < 150
+    assert {tuple(r.symbols): r.n for r in state.collect()} == {tuple(r.symbols): r.n for r in one.collect()}
+
+
 def test_urls(spark):
     df = spark.createDataFrame([("http://a/b/c",), ("http://a/d/",), (None,)], "url string")
     assert {r.part: r.n for r in urls.path_part_counts(df, "url").collect()} == {"http:": 2, "": 2, "a": 2, "b": 1, "d": 1}
